@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.plans.blocks import Seq, axis_block, scan
+from loomlog.plans.stage import staged
 
 MICROS_PER_HOUR = 3_600_000_000.0
 SURFACES = ["s1", "s2", "s3", "s4", "s5", "s6"]
@@ -15,7 +16,26 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def seq_log(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _ingested(spark: SparkSession, path: str, name: str, build) -> DataFrame:
+    """Logs are numbered once, at ingest, and written; queries read the written table."""
+    key = (spark.sparkContext.applicationId, path, name)
+    if key not in _tables:
+        _tables[key] = staged(build(spark, path))
+    return _tables[key]
+
+
+def seq_log(spark: SparkSession, path: str) -> DataFrame:
+    return _ingested(spark, path, "seq_log", build_seq_log)
+
+
+def pred_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return _ingested(spark, path, "pred_vectors", build_pred_vectors)
+
+
+def build_seq_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of a user as one depth-indexed log; the target is hidden on the last 40%."""
     ev = table(spark, path, "events").select(
         "user_id", "event_id", "event_type", "value",
@@ -43,14 +63,14 @@ def seq_log(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> Data
         F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("gr"),
         tvt.alias("tvt"),
         F.when(idx < F.floor(F.col("n") * 0.6), tvt).alias("tvt_input"),
-        *extra,
+        "event_type",
     )
 
 
 def ref_curve(spark: SparkSession, path: str) -> DataFrame:
     """Reference curve of key k: the gap-free rows of key k+1, wrapping around."""
     users = table(spark, path, "events").select("user_id").distinct().agg(F.count("*")).scalar()
-    log = seq_log(spark, path, extra=("event_type",)).where(F.col("gr").isNotNull())
+    log = seq_log(spark, path).where(F.col("gr").isNotNull())
     return log.select(
         F.pmod(F.col("well_id").cast("bigint") - 1 + users, users).cast("string").alias("well_id"),
         "tvt", "gr", F.col("event_type").alias("geology"),
@@ -68,7 +88,7 @@ def surface_points(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pred_vectors(spark: SparkSession, path: str) -> DataFrame:
+def build_pred_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Order lines as truth and three competing estimates, grouped by supplier."""
     line = table(spark, path, "lineitem")
     price = table(spark, path, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")

@@ -6,7 +6,7 @@ import importlib
 
 from loomlog.catalog.registry import ORACLES, QUERIES
 
-CHAPTERS = ["sequence", "prefix", "curve"]
+CHAPTERS = ["sequence", "prefix", "curve", "join", "profile"]
 
 
 def load() -> tuple[dict, dict]:

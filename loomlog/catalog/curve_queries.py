@@ -88,10 +88,10 @@ query("affine_calibration", lambda s, d: prefix.affine_calibration(pairs(s, d)),
       CASE WHEN regr_count(gr, v) >= 20 AND regr_sxx(gr, v) > 1e-12 THEN regr_intercept(gr, v) ELSE coalesce(avg(gr - v), 0) END AS intercept FROM {PAIRS} GROUP BY 1""",
       ctes=CTE, floats="slope intercept")
 
-_ANCHORS = {"last": (F.col("last_tvt"), [-10.0, 0.0, 10.0]), "line": (F.col("linear_prior"), [-4.0, 0.0, 4.0])}
+_ANCHORS = {"last": ("last_tvt", [-10.0, 0.0, 10.0]), "line": ("linear_prior", [-4.0, 0.0, 4.0])}
 _fam = [f"{n}_{'m' if o < 0 else 'p'}{abs(int(o))}" for n, (_, os) in _ANCHORS.items() for o in os]
 _fam_rows = "(SELECT *, unnest([" + ", ".join(f"'{c}'" for c in _fam) + "]) AS nm, unnest([last_tvt - 10, last_tvt, last_tvt + 10, linear_prior - 4, linear_prior, linear_prior + 4]) AS q FROM priors)"
-query("offset_residual_family", lambda s, d: op.offset_residual_family(prior(s, d), ref_curve(s, d), _ANCHORS),
+query("offset_residual_family", lambda s, d: op.offset_residual_family(prior(s, d), ref_curve(s, d), {n: (F.col(c), o) for n, (c, o) in _ANCHORS.items()}),
       "SELECT well_id, row_idx, " + ", ".join(f"max(CASE WHEN nm = '{c}' THEN gr - v END) AS {c}" for c in _fam) + f" FROM {interp(_fam_rows)} GROUP BY 1, 2",
       ctes=CTE, floats=" ".join(_fam))
 

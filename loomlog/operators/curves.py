@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.exprs import clip, lerp
 from loomlog.plans.blocks import Seq, axis_block, framed, scan
+from loomlog.plans.stage import staged
 
 STEP_OFFSETS = [float(o) for o in range(-60, 61, 5)]
 ENDPOINTS = [-60.0, -40.0, -25.0, -15.0, -8.0, 0.0, 8.0, 15.0, 25.0, 40.0, 60.0]
@@ -27,7 +28,7 @@ def locate(rows: DataFrame, knots: DataFrame, q: str, x: str, carry: list[str],
     given = knots.where(F.col(x).isNotNull()).select(
         F.col(key), F.col(x).cast("double").alias("_x"), F.lit(0).alias("_kind"), F.struct(F.col(x).alias("x"), *carry).alias("_k")
     )
-    both = asked.unionByName(given, allowMissingColumns=True)
+    both = staged(asked.unionByName(given, allowMissingColumns=True))  # read by three branches
     one = F.when(F.col("_kind") == 0, 1).otherwise(0).cast("bigint")
     found = scan(
         both,
@@ -158,6 +159,7 @@ def interval_context(rows: DataFrame, bounds: DataFrame, q: str, key: str = "wel
     """Interval of ``bounds`` that holds q (values outside use the end intervals), distances
     to both ends, thickness, phase and derived measures."""
     seq = Seq(key=key, pos="_i")
+    bounds = staged(bounds)
     ranked = scan(bounds, run={"_i": F.lit(1).cast("bigint")}, total={"_nb": ("sum", F.lit(1).cast("bigint"))}, seq=seq, order=["boundary"],
                   block=axis_block(bounds, key, "boundary"))
     ranked = ranked.withColumn("_i", F.col("_i") - 1)

@@ -19,8 +19,13 @@ def _bin(v: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BINS_PER_UNIT)
 
 
+def _position(p, n: Column) -> Column:
+    return p(n) if callable(p) else F.lit(float(p)) * (n - 1)
+
+
 def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """``wanted`` maps an output name to (value, probability). NULL and NaN values are
+    """``wanted`` maps an output name to (value, probability); a function of the group size
+    in place of the probability gives the zero-based position itself. NULL and NaN values are
     left out; a group without values gets NULL. ``keys`` may be empty (one row)."""
     df = df if keys else df.withColumn("_all", F.lit(1))
     by = keys or ["_all"]
@@ -31,7 +36,7 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, fl
     long = df.select(*by, F.inline(F.array(*pairs)))
     long = long.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_b", _bin(F.col("_v")))
 
-    probs = {i: sorted({p for c, p in wanted.values() if slot[str(c)] == i}) for i in slot.values()}
+    probs = {i: list(dict.fromkeys(p for c, p in wanted.values() if slot[str(c)] == i)) for i in slot.values()}
     group = W.partitionBy(*by, "_s")
     hist = long.groupBy(*by, "_s", "_b").agg(F.count("*").alias("_c"))
     hist = hist.select(
@@ -42,7 +47,7 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, fl
     hits = None
     for i, ps in probs.items():
         for p in ps:
-            at = F.lit(p) * (F.col("_n") - 1)
+            at = _position(p, F.col("_n"))
             base = F.col("_top") - F.col("_c")
             hit = (F.col("_s") == i) & (F.ceil(at) >= base) & (F.floor(at) < F.col("_top"))
             hits = hit if hits is None else hits | hit
@@ -57,7 +62,7 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, fl
     start = F.col("_end") - F.col("_c")
     outs = []
     for name, (c, p) in wanted.items():
-        at = F.lit(float(p)) * (F.col("_n") - 1)
+        at = _position(p, F.col("_n"))
         lo, hi = F.floor(at), F.ceil(at)
         frac = at - lo
         mine = F.col("_s") == slot[str(c)]
