@@ -123,3 +123,14 @@ def line_ids(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.sum("l_extendedprice").alias("pred")
     )
+
+
+def copies(spark: SparkSession, path: str) -> DataFrame:
+    """Logs with a suffix: an exact copy of every third key, a perturbed one of every fifth."""
+    log = seq_log(spark, path)
+    u = F.col("well_id").cast("bigint")
+    same = log.where(u % 3 == 0).withColumn("well_id", F.concat("well_id", F.lit("_c")))
+    bent = log.where((u % 5 == 0) & (u % 3 != 0)).withColumns(
+        {"well_id": F.concat("well_id", F.lit("_c")), "gr": F.col("gr") + 1, "tvt": F.col("tvt") + 0.05}
+    )
+    return same.unionByName(bent)

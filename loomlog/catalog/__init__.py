@@ -6,7 +6,7 @@ import importlib
 
 from loomlog.catalog.registry import ORACLES, QUERIES
 
-CHAPTERS = ["sequence", "prefix", "curve", "join", "profile"]
+CHAPTERS = ["source", "sequence", "prefix", "curve", "join", "profile", "blend", "spatial", "model", "transfer"]
 
 
 def load() -> tuple[dict, dict]:

@@ -37,7 +37,7 @@ query("z_anchor_prior", lambda s, d: op.z_anchor_prior(seq_log(s, d)).select(*ID
       """SELECT well_id, row_idx, a - z AS z_anchor_prior FROM seq_log JOIN (SELECT well_id, quantile_cont(tvt_input + z, 0.5) AS a
       FROM seq_log WHERE tvt_input IS NOT NULL GROUP BY 1) USING (well_id)""", ctes=SEQ_CTE, floats="z_anchor_prior")
 
-_LADDER = LAST_CTE + """,
+LADDER_CTE = LAST_CTE + """,
 fits AS (SELECT well_id, regr_slope(tvt_input, md) AS b1, regr_intercept(tvt_input, md) AS a1, regr_slope(tvt_input, z) AS b2, regr_intercept(tvt_input, z) AS a2,
     regr_slope(tvt_input, md) FILTER (back <= 200) AS b3, regr_intercept(tvt_input, md) FILTER (back <= 200) AS a3,
     regr_slope(tvt_input, z) FILTER (back <= 200) AS b4, regr_intercept(tvt_input, z) FILTER (back <= 200) AS a4 FROM recent GROUP BY 1),
@@ -48,7 +48,7 @@ query("baseline_ladder",
       lambda s, d: metrics.score_report(op.baseline_ladder(seq_log(s, d))).drop("worst"),
       """SELECT model, sqrt(sum(sse) / sum(k)) AS rmse, sum(k)::BIGINT AS rows, count(*) AS keys, avg(sqrt(sse / k)) AS key_rmse_mean, quantile_cont(sqrt(sse / k), 0.5) AS key_rmse_median
       FROM (SELECT model, well_id, sum(pow(truth - pred, 2)) AS sse, count(*) AS k FROM long GROUP BY 1, 2) GROUP BY 1""",
-      ctes=_LADDER, floats="rmse key_rmse_mean key_rmse_median")
+      ctes=LADDER_CTE, floats="rmse key_rmse_mean key_rmse_median")
 
 _EVAL = LAST_CTE + """,
 scores AS (SELECT m.model, well_id, sum(pow(tvt - CASE m.model WHEN 'last_known' THEN last_tvt ELSE linear_prior END, 2)) AS sse, count(*) AS k
