@@ -6,7 +6,7 @@ import importlib
 
 from loomlog.catalog.registry import ORACLES, QUERIES
 
-CHAPTERS = ["source", "sequence", "prefix", "curve", "join", "profile", "blend", "spatial", "model", "transfer"]
+CHAPTERS = ["source", "sequence", "prefix", "curve", "join", "profile", "blend", "spatial", "model", "transfer", "align"]
 
 
 def load() -> tuple[dict, dict]:

@@ -102,6 +102,6 @@ query("predict_to_contract",
       "SELECT concat(well_id, '_', row_idx) AS id, row_idx AS pos, linear_prior AS tvt FROM priors WHERE tvt_input IS NULL", ctes=LAST_CTE, floats="tvt")
 query("feature_set_select",
       lambda s, d: op.feature_set_select(metrics.score_report(prefix.baseline_ladder(seq_log(s, d))).select("model", "rmse"),
-                                         {"constant": "strict", "linear_md_all": "strict", "linear_z_all": "target_free", "linear_md_recent": "target_free", "linear_z_recent": "open"}, ["strict", "target_free"]),
-      "SELECT rmse, model, CASE WHEN model IN ('constant', 'linear_md_all') THEN 'strict' ELSE 'target_free' END AS policy FROM (SELECT model, sqrt(avg(pow(truth - pred, 2))) AS rmse FROM long WHERE model <> 'linear_z_recent' GROUP BY 1) ORDER BY rmse LIMIT 1",
+                                         {"constant": "strict", "linear_md_all": "strict", "linear_z_all": "target_free", "linear_md_recent": "open", "linear_z_recent": "open"}, ["strict", "target_free"]),
+      "SELECT rmse, model, CASE WHEN model IN ('constant', 'linear_md_all') THEN 'strict' ELSE 'target_free' END AS policy FROM (SELECT model, sqrt(avg(pow(truth - pred, 2))) AS rmse FROM long WHERE model NOT LIKE '%recent' GROUP BY 1) ORDER BY rmse LIMIT 1",
       ctes=LADDER_CTE, floats="rmse")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.plans.quantiles import _bin, quantiles
 from loomlog.plans.ranks import global_rank
+from loomlog.plans.stage import staged
 
 
 def group_kfold(df: DataFrame, k: int = 5, key: str = "well_id") -> DataFrame:
@@ -34,7 +35,7 @@ def strata(df: DataFrame, features: list[str], key: str = "well_id", rare_below:
     Ties go by key order; edges lie at 1 + (n-1)/3 and 1 + 2(n-1)/3 of the rank."""
     med = quantiles(df, [key], {f: (F.col(f), 0.5) for f in features})
     n = med.agg(F.count("*")).scalar()
-    out = med.withColumn("_n", n)
+    out = staged(med.withColumn("_n", n))
     for f in features:
         ranked = global_rank(out.select(key, f), _bin(F.col(f)), [f, key], f"_r_{f}").select(key, f"_r_{f}")
         out = out.join(ranked, key)
