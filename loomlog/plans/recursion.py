@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.plans.stage import staged
+from loomlog.plans.stage import again, staged
 
 CHUNK_ROWS = 1 << 15
 CURVE_ROWS = 4_000_000
@@ -46,12 +46,14 @@ def tiled(
 ) -> DataFrame:
     """Run ``match(q_chunk, t_chunk, queries, targets)`` on every pair of chunks of a key.
     Queries get ``q_halo`` neighbours on both sides, targets ``t_after`` rows behind."""
+    queries, targets = staged(queries), staged(targets)  # both are read twice
     size = queries.groupBy(key).agg(F.max(F.expr(f"`{q_pos}` div {q_size}")).alias("_nq")).join(
         targets.groupBy(key).agg(F.max(F.expr(f"`{t_pos}` div {t_size}")).alias("_nt")), key
     )
     size = staged(size)
-    q = _spread(queries.join(size, key), q_pos, q_size, q_halo, q_halo, "_qc").withColumn("_tc", F.explode(F.sequence(F.lit(0).cast("bigint"), "_nt")))
-    t = _spread(targets.join(size, key), t_pos, t_size, 0, t_after, "_tc").withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), "_nq")))
+    q_side, t_side = size.select(key, "_nt"), again(size).select(key, "_nq")
+    q = _spread(queries.join(q_side, key), q_pos, q_size, q_halo, q_halo, "_qc").withColumn("_tc", F.explode(F.sequence(F.lit(0).cast("bigint"), "_nt")))
+    t = _spread(targets.join(t_side, key), t_pos, t_size, 0, t_after, "_tc").withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), "_nq")))
 
     def run(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -62,7 +64,7 @@ def tiled(
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     by = [key, "_qc", "_tc"]
-    return q.drop("_nq", "_nt").groupBy(*by).cogroup(t.drop("_nq", "_nt").groupBy(*by)).applyInPandas(run, schema)
+    return q.drop("_nt").groupBy(*by).cogroup(t.drop("_nq").groupBy(*by)).applyInPandas(run, schema)
 
 
 def _round(rows: DataFrame, side: DataFrame, keys: list[str], pos: str, step, schema: str, down: bool) -> DataFrame:

@@ -27,4 +27,11 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def again(df: DataFrame) -> DataFrame:
+    """A second, independent reading of a staged frame, for joins of a frame with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._stage_path)
