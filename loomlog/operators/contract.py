@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.operators.joins import pair_sums
+from loomlog.operators.joins import pair_sums, with_scalars
 from loomlog.plans.quantiles import quantiles
 
 
@@ -26,7 +26,7 @@ def contract_guard(
         F.count_if(F.expr("p > 0 AND c = 0")).alias("extra"), F.count_if(F.expr("p > 1")).alias("duplicates"), F.sum("bad").alias("not_finite"),
         F.count_if(F.expr("pp <> cp")).alias("moved"), (F.max("hi") - F.min("lo")).alias("value_range"),
     )
-    found = found.join(quantiles(preds, [], {"value_median": (v, 0.5)}), how="cross")  # one row each
+    found = with_scalars(found, quantiles(preds, [], {"value_median": (v, 0.5)}))
     reason = F.when(F.lit(not columns_ok), "columns")
     for name in ("duplicates", "missing", "extra", "not_finite", "moved"):
         reason = reason.when(F.col(name) > 0, name)
@@ -51,7 +51,7 @@ def change_report(df: DataFrame, old: str, new: str) -> DataFrame:
         F.count("*").alias("rows"), F.count_if(F.abs(d) > 1e-9).alias("changed"), F.sqrt(F.avg(d * d)).alias("rms_delta"), F.max(F.abs(d)).alias("max_abs"),
         F.avg(d).alias("mean_delta"), F.avg(new).alias("new_mean"), F.stddev_pop(new).alias("new_std"),
     )
-    return agg.join(quantiles(df, [], {"p95_abs": (F.abs(d), 0.95)}), how="cross")  # one row each
+    return with_scalars(agg, quantiles(df, [], {"p95_abs": (F.abs(d), 0.95)}))
 
 
 def weight_validation(weights: DataFrame, limit: float = 1.05) -> DataFrame:

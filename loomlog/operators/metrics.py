@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomlog.plans.quantiles import quantiles
+from loomlog.operators.joins import pair_sums, with_scalars
+from loomlog.plans.quantiles import _bin, quantiles
 
 
 def _pair(y: str, p: str) -> Column:
@@ -44,8 +45,7 @@ def score_report(df: DataFrame, by=("model",), key: str = "well_id", worst: int
     bad = bad.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("_r", key, "rmse", "rows"))).alias("worst")  # at most ``worst`` entries
     )
-    out = top.join(med, by).join(bad, by) if by else top.crossJoin(med).crossJoin(bad)
-    return out
+    return top.join(med, by).join(bad, by) if by else with_scalars(with_scalars(top, med), bad)
 
 
 def worst_decile(keys: DataFrame, by=("model",)) -> DataFrame:
@@ -69,9 +69,8 @@ def worst_decile(keys: DataFrame, by=("model",)) -> DataFrame:
 def row_vs_key_weighting(df: DataFrame, key: str = "well_id", y: str = "truth", p: str = "pred") -> DataFrame:
     """Share of rows and of squared error per key beside the pooled, mean and median RMSE."""
     keys = key_scores(df, [], key, y, p).withColumn("rmse", F.sqrt(F.col("sse") / F.col("rows")))
-    all_ = keys.agg(F.sum("sse").alias("_s"), F.sum("rows").alias("_n"), F.avg("rmse").alias("key_mean")).join(
-        quantiles(keys, [], {"key_median": (F.col("rmse"), 0.5)}), how="cross"  # one row each
-    )
+    all_ = keys.agg(F.sum("sse").alias("_s"), F.sum("rows").alias("_n"), F.avg("rmse").alias("key_mean"))
+    all_ = with_scalars(all_, quantiles(keys, [], {"key_median": (F.col("rmse"), 0.5)}))
     whole = all_.select(F.struct("*").alias("s")).scalar()
     return keys.withColumn("_w", whole).select(
         key, "rows", "rmse", (F.col("rows") / F.col("_w")["_n"]).alias("row_share"), (F.col("sse") / F.col("_w")["_s"]).alias("sse_share"),
@@ -101,7 +100,7 @@ def key_gain(df: DataFrame, base: str, key: str = "well_id", y: str = "truth", p
     top = keys.agg(
         F.min(g).alias("gain_min"), F.max(g).alias("gain_max"), F.count_if(g > 0).alias("improved"), F.count_if(g < 0).alias("hurt")
     )
-    return keys, top.join(pct, how="cross")  # one row each
+    return keys, with_scalars(top, pct)
 
 
 def stage_report(df: DataFrame, stages: list[str], base: str, y: str = "truth") -> DataFrame:
@@ -116,8 +115,6 @@ def stage_report(df: DataFrame, stages: list[str], base: str, y: str = "truth")
 def average_ranks(df: DataFrame, cols: list[str], width: float | None = None) -> DataFrame:
     """Add ``<col>_rank``: the rank from 1, ties averaged. Ranks come from counts per distinct
     value, accumulated over coarse value bins and then inside each bin."""
-    from loomlog.plans.quantiles import _bin
-
     out = df
     for c in cols:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_c")).withColumn("_b", _bin(F.col(c)))
@@ -153,7 +150,7 @@ def describe_pct(df: DataFrame, col: str, by: list[str] | None = None) -> DataFr
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")
     )
     pct = quantiles(df, by, {f"p{p:02d}": (x, p / 100) for p in PERCENTS})
-    return agg.join(pct, by, "left") if by else agg.join(pct, how="cross")  # one row each
+    return agg.join(pct, by, "left") if by else with_scalars(agg, pct)
 
 
 def value_counts(df: DataFrame, col: str, top: int = 20) -> DataFrame:
@@ -168,8 +165,6 @@ def modal_value(df: DataFrame, value: Column, key: str, digits: int = 6) -> Data
 
 def replicate_variance(df: DataFrame, y: str, replicates: list[str]) -> tuple[DataFrame, DataFrame]:
     """RMSE of each replicate, of their row mean, and the spread; pairwise distances apart."""
-    from loomlog.operators.joins import pair_sums
-
     bag = sum(F.col(r) for r in replicates) / len(replicates)
     one = df.agg(*[F.sqrt(F.avg((F.col(y) - F.col(r)) ** 2)).alias(r) for r in replicates], F.sqrt(F.avg((F.col(y) - bag) ** 2)).alias("bagged_rmse"))
     scores = F.array(*replicates)

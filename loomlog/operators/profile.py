@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.operators.curves import curve_interp
+from loomlog.operators.joins import with_scalars
 from loomlog.operators.metrics import modal_value, safe_corr
 from loomlog.operators.prefix import known, last_known
 from loomlog.operators.sequence import curvature
@@ -125,7 +126,7 @@ def step_jumps(df: DataFrame, col: str = "tvt", seq: Seq = SEQ) -> DataFrame:
     s = F.col("_step")
     pct = quantiles(rows, [], {f"p{n}": (s, p) for n, p in (("50", 0.5), ("90", 0.9), ("99", 0.99), ("999", 0.999))})
     agg = rows.agg(F.count(s).alias("steps"), F.max(s).alias("step_max"), *[F.count_if(s > j).alias(f"over_{str(j).replace('.', '_')}") for j in JUMPS])
-    return agg.join(pct, how="cross")  # one row each
+    return with_scalars(agg, pct)
 
 
 def surface_stability(df: DataFrame, surfaces: list[str], key: str = "well_id") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import WindowSpec
 
 BLOCK = "_block"
 BLOCK_ROWS = 1 << 16
+AXIS_ROWS = 1 << 14
 BACK = (W.unboundedPreceding, W.currentRow)
 
 
@@ -65,7 +66,7 @@ def framed(
     return out.where(F.col(BLOCK) == own).drop(BLOCK)
 
 
-def axis_block(df: DataFrame, key: str, axis: str, rows: int = BLOCK_ROWS // 4) -> Column:
+def axis_block(df: DataFrame, key: str, axis: str, rows: int | None = None) -> Column:
     """Block number along a numeric axis, for logs that have no row number yet.
 
     The width comes from a scalar subquery over the data (largest key, range of
@@ -74,7 +75,7 @@ def axis_block(df: DataFrame, key: str, axis: str, rows: int = BLOCK_ROWS // 4)
     sizes = df.groupBy(key).agg(F.count("*").alias("n"), F.min(axis).alias("lo"), F.max(axis).alias("hi"))
     s = sizes.agg(
         F.struct(
-            F.ceil(F.max("n") / rows).alias("blocks"),
+            F.ceil(F.max("n") / (rows or AXIS_ROWS)).alias("blocks"),
             F.min("lo").cast("double").alias("lo"),
             (F.max("hi") - F.min("lo")).cast("double").alias("span"),
         ).alias("s")
