@@ -12,9 +12,11 @@ import pickle
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomlog.plans.stage import again, staged
 
@@ -40,8 +42,23 @@ def _spread(df: DataFrame, pos: str, size: int, before: int, after: int, out: st
     return df.withColumn(out, F.explode(F.array_compact(F.array(*homes))))
 
 
+Columns = dict[str, np.ndarray | list]
+
+
+def _columns(t: pa.Table, order: str, down: bool = False) -> Columns:
+    """Columns of a group in row order; numbers as arrays, the rest as lists."""
+    at = np.argsort(t[order].to_numpy(), kind="stable")
+    t = t.take(pa.array(at[::-1] if down else at))
+    flat = {c: t[c].combine_chunks() for c in t.column_names}
+    return {c: v.to_numpy(zero_copy_only=False) if pa.types.is_primitive(v.type) else v.to_pylist() for c, v in flat.items()}
+
+
+def _table(cols: Columns, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+
+
 def tiled(
-    queries: DataFrame, targets: DataFrame, match: Callable[[int, int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, *,
+    queries: DataFrame, targets: DataFrame, match: Callable[[int, int, Columns, Columns], Columns | None], schema: str, *,
     key: str, q_pos: str, t_pos: str, q_size: int, t_size: int, q_halo: int = 0, t_after: int = 0,
 ) -> DataFrame:
     """Run ``match(q_chunk, t_chunk, queries, targets)`` on every pair of chunks of a key.
@@ -55,35 +72,37 @@ def tiled(
     q = _spread(queries.join(q_side, key), q_pos, q_size, q_halo, q_halo, "_qc").withColumn("_tc", F.explode(F.sequence(F.lit(0).cast("bigint"), "_nt")))
     t = _spread(targets.join(t_side, key), t_pos, t_size, 0, t_after, "_tc").withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), "_nq")))
 
-    def run(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
-        out = match(int(k[1]), int(k[2]), left.sort_values(q_pos, ignore_index=True), right.sort_values(t_pos, ignore_index=True))
-        out[key] = k[0]
-        return out[names]
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(k: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return shape.empty_table()
+        out = match(k[1].as_py(), k[2].as_py(), _columns(left, q_pos), _columns(right, t_pos))
+        if out is None:
+            return shape.empty_table()
+        return _table(out | {key: [k[0].as_py()] * len(out[q_pos])}, shape)
 
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
     by = [key, "_qc", "_tc"]
-    return q.drop("_nt").groupBy(*by).cogroup(t.drop("_nq").groupBy(*by)).applyInPandas(run, schema)
+    return q.drop("_nt").groupBy(*by).cogroup(t.drop("_nq").groupBy(*by)).applyInArrow(run, schema)
 
 
 def _round(rows: DataFrame, side: DataFrame, keys: list[str], pos: str, step, schema: str, down: bool) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in schema.split(",")] + ["_state"]
-
-    def run(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=names)
-        kept = right[right["_state"].notna()] if len(right) else right
-        state = pickle.loads(kept["_state"].iloc[0]) if len(kept) else None
-        ref = right[right["_state"].isna()].drop(columns="_state") if len(right) else right
-        out, state = step(k, left.sort_values(pos, ascending=not down, ignore_index=True), ref, state)
-        for name, v in zip(keys, k):
-            out[name] = v
-        out["_state"] = None
-        last = {n: None for n in names} | dict(zip(keys, k)) | {pos: -1, "_state": pickle.dumps(state)}
-        return pd.concat([out[names].astype(object), pd.DataFrame([last], columns=names).astype(object)], ignore_index=True)
-
-    return staged(rows.groupBy(*keys).cogroup(side.groupBy(*keys)).applyInPandas(run, schema + ", _state binary"))
+    full = to_arrow_schema(StructType.fromDDL(schema + ", _state binary"))
+
+    def run(k: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return full.empty_table()
+        held = right["_state"].drop_null() if right.num_rows else []
+        state = pickle.loads(held[0].as_py()) if len(held) else None
+        ref = right.filter(right["_state"].is_null()).drop_columns("_state") if right.num_rows else right
+        ids = {name: v.as_py() for name, v in zip(keys, k)}
+        out, state = step(tuple(ids.values()), _columns(left, pos, down), {c: ref[c].to_numpy() for c in ref.column_names if c not in keys}, state)
+        n = left.num_rows
+        rows = _table(out | {name: [v] * n for name, v in ids.items()} | {"_state": [None] * n}, full)
+        last = {f.name: [None] for f in full} | {name: [v] for name, v in ids.items()} | {pos: [-1], "_state": [pickle.dumps(state)]}
+        return pa.concat_tables([rows, _table(last, full)])
+
+    return staged(rows.groupBy(*keys).cogroup(side.groupBy(*keys)).applyInArrow(run, schema + ", _state binary"))
 
 
 def forward(rows: DataFrame, curve: DataFrame, keys: list[str], pos: str, step, schema: str, chunk: int = CHUNK_ROWS) -> tuple[DataFrame, list[DataFrame]]:
