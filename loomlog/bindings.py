@@ -9,6 +9,8 @@ from loomlog.plans.blocks import Seq, axis_block, scan
 from loomlog.plans.stage import staged
 
 MICROS_PER_HOUR = 3_600_000_000.0
+# independent of the session's time zone
+MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
 SURFACES = ["s1", "s2", "s3", "s4", "s5", "s6"]
 
 
@@ -39,7 +41,7 @@ def build_seq_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of a user as one depth-indexed log; the target is hidden on the last 40%."""
     ev = table(spark, path, "events").select(
         "user_id", "event_id", "event_type", "value",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.expr(MICROS).alias("us"),
     )
     rows = scan(
         ev,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlog import workflows as wf
-from loomlog.bindings import SURFACES, _ingested, copies, pred_vectors, ref_curve, seq_log, surface_points, table
+from loomlog.bindings import MICROS, _ingested, copies, pred_vectors, ref_curve, seq_log, surface_points, table
 from loomlog.catalog.curve_queries import CTE, interp
 from loomlog.catalog.prefix_queries import LAST_CTE
 from loomlog.catalog.registry import CURVE_CTE, FILL_CTE, PRED_CTE, SEQ_CTE, query
@@ -110,7 +110,7 @@ query("st_trailing", lambda s, d: st.drain(st.st_trailing(st.as_stream(seq_log(s
 
 
 def gap_events(s, d):
-    return table(s, d, "events").select(F.col("user_id").cast("string").alias("well_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("gr"))
+    return table(s, d, "events").select(F.col("user_id").cast("string").alias("well_id"), F.timestamp_micros(F.expr(MICROS)).alias("ts"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("gr"))
 
 
 query("st_gap_monitor", lambda s, d: st.drain(st.st_gap_monitor(st.as_stream(gap_events(s, d)), "gr")),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomlog.bindings import line_ids, pred_vectors, sample_ids, seq_log, table
 from loomlog.catalog.prefix_queries import LAST_CTE

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomlog.bindings import seq_log
 from loomlog.catalog.registry import FILL_CTE, SEQ_CTE, query
 from loomlog.operators import sequence as op
-from loomlog.plans.blocks import framed
 
 ID = ["well_id", "row_idx"]
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from math import pi
 
 from pyspark.sql import functions as F
 
-from loomlog.bindings import line_ids, pred_vectors, ref_curve, sample_ids, seq_log, table
-from loomlog.catalog.registry import CURVE_CTE, IDS_CTE, PRED_CTE, SEQ_CTE, query
+from loomlog.bindings import pred_vectors, ref_curve, seq_log, table
+from loomlog.catalog.registry import CURVE_CTE, PRED_CTE, SEQ_CTE, query
 from loomlog.functions import exprs as x
 from loomlog.operators import ids
+from loomlog.plans.stage import stage_dir
 from loomlog.sources import files as io
 
 _SPLIT = "CASE WHEN list_has_any(string_split(lower(url), '/'), ['fr', 'es']) THEN 'train' WHEN list_has_any(string_split(lower(url), '/'), ['en', 'de']) THEN 'test' ELSE 'unknown' END"
@@ -65,3 +67,62 @@ query("fingerprint", lambda s, d: ids.fingerprint(pred_vectors(s, d).withColumn(
 query("fallback_fill",
       lambda s, d: ids.fallback_fill(pred_vectors(s, d).withColumns({"p": F.when(F.col("z") > 0.05, F.col("a")), "l": F.when(F.col("z") > 0.02, F.col("c")), "dl": F.col("b") - F.col("c")}), "p", "l", "dl").select("id", "filled"),
       """SELECT id, coalesce(CASE WHEN z > 0.05 THEN a END, CASE WHEN z > 0.02 THEN c END, (SELECT avg(CASE WHEN z > 0.02 THEN c END) + avg(b - c) FROM pred_vectors)) AS filled FROM pred_vectors""", ctes=PRED_CTE, floats="filled", digits=3)
+
+
+def folder(s) -> str:
+    """A fresh place for files a query writes and reads back."""
+    return f"{stage_dir(s).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def csv_logs(s, d):
+    """The logs as CSV, one folder per log named like its file, below train and test."""
+    root = folder(s)
+    log = seq_log(s, d).select(F.concat("well_id", F.lit("__horizontal_well.csv")).alias("log"), F.col("md").alias("MD"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"),
+                               F.col("gr").alias("GR"), F.col("tvt").alias("TVT"), F.col("tvt_input").alias("TVT_input"))
+    for split, cond in (("train", "Y % 3 <> 0"), ("test", "Y % 3 = 0")):
+        log.where(cond).repartition(4, "log").write.partitionBy("log").option("header", True).csv(f"{root}/{split}")
+    return io.scan_logs(s, root, glob="part-*.csv", name=r"log=([^/]+?)__horizontal_well\.csv/")
+
+
+def csv_curves(s, d):
+    root = folder(s)
+    name = F.concat("well_id", F.lit("__typewell"), F.when(F.col("well_id").cast("bigint") % 2 == 0, F.concat(F.lit("__c"), "well_id")).otherwise(""), F.lit(".csv"))
+    curve = ref_curve(s, d).select(name.alias("curve"), F.col("tvt").alias("TVT"), F.col("gr").alias("GR"), F.col("geology").alias("Geology"))
+    curve.repartition(4, "curve").write.partitionBy("curve").option("header", True).csv(f"{root}/train")
+    return io.scan_curves(s, root, glob="part-*.csv", name=r"curve=([^/]+?)__typewell(?:__([^/]+?))?\.csv/")
+
+
+query("scan_logs", csv_logs, "SELECT CASE WHEN y % 3 = 0 THEN 'test' ELSE 'train' END AS split, well_id, row_idx, md, x, y, z, gr, tvt, tvt_input FROM seq_log", ctes=SEQ_CTE, floats="md x y z gr tvt tvt_input")
+query("scan_curves", csv_curves, "SELECT 'train' AS split, well_id, CASE WHEN CAST(well_id AS BIGINT) % 2 = 0 THEN concat('c', well_id) ELSE well_id END AS curve_id, tvt, gr, geology FROM ref_curve", ctes=CURVE_CTE, floats="tvt gr")
+query("canonicalize", lambda s, d: io.canonicalize(seq_log(s, d).withColumnsRenamed({"md": " Measured-Depth ", "gr": "Gamma/Ray", "z": "TVD", "tvt_input": "TVT_Input"}), ("md", "gr", "z")),
+      "SELECT md, x, y, z, gr, tvt, tvt_input FROM seq_log", ctes=SEQ_CTE, floats="md x y z gr tvt tvt_input")
+query("extra_numeric", lambda s, d: io.extra_numeric(table(s, d, "events").withColumns({"Half-Id": (F.col("event_id") / 2).cast("string"), "nothing": F.lit(None).cast("string")}).drop("ts"), ["event_id"]),
+      "SELECT event_id, CAST(user_id AS DOUBLE) AS raw_user_id, value AS raw_value, event_id / 2 AS raw_half_id FROM events", floats="raw_user_id raw_value raw_half_id")
+
+
+def written(s, d):
+    path = folder(s)
+    preds = pred_vectors(s, d).select("id", F.round("a", 4).alias("tvt"))
+    io.write_predictions(preds, pred_vectors(s, d).select("id", F.col("grp").alias("pos")), path)
+    return s.read.schema("id string, tvt double").option("header", True).csv(path)
+
+
+query("write_predictions", written, "SELECT id, a AS tvt FROM pred_vectors", ctes=PRED_CTE, floats="tvt", digits=3)
+
+
+def reported(s, d):
+    path = folder(s)
+    io.write_report(pred_vectors(s, d).groupBy("grp").agg(F.count("*").alias("rows"), F.avg("truth").alias("mean")), path)
+    return s.read.schema("grp bigint, rows bigint, mean double").json(path)
+
+
+query("write_report", reported, "SELECT grp, count(*) AS rows, avg(truth) AS mean FROM pred_vectors GROUP BY 1", ctes=PRED_CTE, floats="mean", digits=3)
+
+
+def cached(s, d):
+    path = folder(s)
+    io.cached_table(s, path, lambda: pred_vectors(s, d).select("id", "grp", "a"))
+    return io.cached_table(s, path, lambda: None)
+
+
+query("csv_to_parquet_cache", cached, "SELECT id, grp, a FROM pred_vectors", ctes=PRED_CTE, floats="a", digits=3)
