@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from loomlog import workflows as wf
 from loomlog.bindings import MICROS, _ingested, copies, pred_vectors, ref_curve, seq_log, surface_points, table
+from loomlog.catalog import blend_queries  # noqa: F401  registers the batch form of st_slope_clip
 from loomlog.catalog.curve_queries import CTE, interp
 from loomlog.catalog.prefix_queries import LAST_CTE
-from loomlog.catalog.registry import CURVE_CTE, FILL_CTE, PRED_CTE, SEQ_CTE, query
+from loomlog.catalog.registry import CURVE_CTE, FILL_CTE, ORACLES, PRED_CTE, SEQ_CTE, query
 from loomlog.operators import align as op
 from loomlog.operators import prefix
 from loomlog.operators.transfer import candidate_signatures
@@ -102,6 +103,7 @@ def tail_start(s, d):
 
 
 query("st_slope_clip", lambda s, d: st.drain(st.st_slope_clip(st.as_stream(tail_start(s, d)), "tvt", "last_tvt", "ps_md", 0.05)).drop("late"))
+ORACLES["st_slope_clip"] = ORACLES["causal_slope_clip"]  # the stream must give what the batch gives
 query("st_trailing", lambda s, d: st.drain(st.st_trailing(st.as_stream(seq_log(s, d).select(*ID, "md", "gr", "tvt_input")), "gr", 25)),
       """SELECT well_id, row_idx, CASE WHEN count(gr) OVER w >= 5 THEN avg(gr) OVER w END AS t_mean, CASE WHEN count(gr) OVER w >= 5 THEN stddev_samp(gr) OVER w ELSE 0 END AS t_std,
       CASE WHEN count(gr) OVER w >= 5 THEN min(gr) OVER w END AS t_min, CASE WHEN count(gr) OVER w >= 5 THEN max(gr) OVER w END AS t_max,
