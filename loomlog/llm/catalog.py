@@ -6,7 +6,7 @@ import importlib
 
 from loomlog.llm.documents import ORACLES, QUERIES
 
-OPERATORS = ["bpe"]
+OPERATORS = ["fingerprints", "contamination", "bpe"]
 
 
 def load() -> tuple[dict, dict]:
