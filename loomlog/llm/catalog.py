@@ -6,7 +6,7 @@ import importlib
 
 from loomlog.llm.documents import ORACLES, QUERIES
 
-OPERATORS = ["fingerprints", "contamination", "token_files", "bpe"]
+OPERATORS = ["fingerprints", "contamination", "token_files", "personal_data", "bpe"]
 
 
 def load() -> tuple[dict, dict]:
