@@ -6,7 +6,7 @@ import importlib
 
 from loomlog.llm.documents import ORACLES, QUERIES
 
-OPERATORS = ["fingerprints", "contamination", "token_files", "personal_data", "toxicity", "bpe"]
+OPERATORS = ["fingerprints", "contamination", "pages", "token_files", "personal_data", "toxicity", "bpe"]
 
 
 def load() -> tuple[dict, dict]:
