@@ -12,6 +12,7 @@ each worker asks the library once for each piece, as long as its memory of ``REM
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,17 @@ from loomlog.plans.stage import stage_dir
 
 SEGMENT = 1 << 20
 SHARD_CHARS = 16 << 20
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 END = 0
 
 # First bytes of characters that may be white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000-205F, U+3000).
 _WIDE_BLANK_HEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 _PLAIN = np.ones(256, bool)
 _PLAIN[:0x21] = _PLAIN[0x7F] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b"\n!\"#$%&()*,./:;<=>?@[]_|")] = True  # no letter, no number, and never inside a match that began with letters
 _NO_WIDE_HEAD = np.ones(256, bool)
 _NO_WIDE_HEAD[list(_WIDE_BLANK_HEADS)] = False
 
@@ -54,7 +59,8 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -65,24 +71,32 @@ class Pieces:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def ids(self, pieces: list[bytes]) -> list[np.ndarray]:
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {}
-            new = list(dict.fromkeys(pieces))
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces, 4 bytes each. Pieces not met for ``REMEMBERED`` others are forgotten."""
+        young, old, new = self.young, self.old, []
+        for piece in pieces:
+            if piece not in young:
+                if piece in old:
+                    young[piece] = old[piece]
+                else:
+                    new.append(piece)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for piece, coded in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                known[piece] = np.array(coded.ids, np.uint32)
-        return [known[p] for p in pieces]
+                young[piece] = array("I", coded.ids).tobytes()
+        out = [young[p] for p in pieces]
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return out
 
 
 def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row of pieces: cut before a blank with a visible character on either side.
+    """Starts, ends and row of pieces: cut before a blank with a visible character on either side, between a letter of A-Z and a sign that
+    follows it, and between a lone line feed and such a letter.
 
-    The splitting pattern takes such a blank as the start of the next match only. A character from 0x80 on counts as visible if its
-    first byte cannot begin a white-space character; where that is not plain, there is no cut.
+    The splitting pattern takes such a blank as the start of the next match only, ends a run of letters at the sign, and takes a line feed before a
+    letter as the end of a match. A character from 0x80 on counts as visible if its first byte cannot begin a white-space character; where
+    that is not plain, there is no cut.
     """
     n = len(data)
     blank = np.flatnonzero(data == 0x20)
@@ -95,8 +109,12 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     cuts = cuts[~edge[cuts] & ~edge[cuts + 1]]  # neighbours must be of the same text
-    full = offsets[:-1][offsets[:-1] < offsets[1:]]
-    starts = np.sort(np.concatenate([cuts, full]))
+    edge[n] = False
+    edge[cuts] = True
+    letter = _LETTER[data]
+    edge[1:n] |= letter[:-1] & _STOP[data[1:]]
+    edge[2:n] |= (_PLAIN & (np.arange(256) < 0x80))[data[:-2]] & (data[1:-1] == 0x0A) & letter[2:]
+    starts = np.flatnonzero(edge)
     ends = np.append(starts[1:], n) if len(starts) else starts
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
@@ -106,7 +124,7 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray
     n = len(offsets) - 1
     starts, ends, rows = piece_spans(data, offsets)
     hashes = T.span_hashes(data, starts, ends)
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     sorted_hashes = hashes[order]
     lengths, raw = ends - starts, data.tobytes()
     fresh = np.append(True, sorted_hashes[1:] != sorted_hashes[:-1]) if len(order) else np.zeros(0, bool)
@@ -116,8 +134,8 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray
     if len(starts) and not _same_bytes(data, starts, lengths, first[group]):
         first, group = np.arange(len(starts)), np.arange(len(starts))  # two pieces of one hash: take each by itself
     coded = Pieces.of(path).ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-    sizes = np.array([len(c) for c in coded], np.int64)
-    flat = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    flat = np.frombuffer(b"".join(coded), np.uint32)
     at = np.cumsum(sizes) - sizes
     per_piece = sizes[group] if len(starts) else np.zeros(0, np.int64)
     counts = np.bincount(rows, weights=per_piece, minlength=n).astype(np.int64) + 1
@@ -145,12 +163,13 @@ SEGMENTS = "shard int, segment int, doc_ids binary, nulls binary, sizes binary,
 def write(df: DataFrame, folder: str, path: str | None = None) -> None:
     """Write the ids of the texts of ``df`` (doc_id, text) to ``folder`` in ascending doc_id order.
 
-    Null ids come first, equal ids by text; null and empty texts are the end id alone; an empty table gives no segments.
+    Null ids come first, equal ids by a hash of the text; null and empty texts are the end id alone; an empty table gives no segments.
     """
     path = path or tokenizer_path()
     df = docs.texts(df)
     total = df.agg(F.sum(F.length("text"))).first()[0] or 0
-    ordered = df.repartitionByRange(int(total // SHARD_CHARS) + 1, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]  # ranges are drawn from samples of these two numbers
+    ordered = df.withColumn("tie", F.xxhash64("text")).repartitionByRange(int(total // SHARD_CHARS) + 1, *order).sortWithinPartitions(*order)
 
     def run(batches):
         shard, segment = TaskContext.get().partitionId(), 0
