@@ -28,7 +28,8 @@ from loomlog.llm import text as T
 from loomlog.plans.stage import staged
 
 DEPTH = 4
-BLOCK = 8 << 20
+BLOCK = 16 << 20
+PART = 1 << 20
 HELD_OUT, MODULUS = 2, 7
 
 BLOCKS = "block long, rows array<long>, doc_ids array<long>, held array<boolean>, sizes array<long>, ends array<boolean>, before binary, raw binary"
@@ -106,36 +107,61 @@ class Block:
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         self.before = np.frombuffer(row["before"], np.uint8)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the different grams, ascending; for each place the number of its gram, and the piece it is in."""
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the different grams, ascending, and for each place of the line the number of the gram that ends there.
+
+        Places without a gram (the contexts before the pieces) have a number one beyond the last. Each step numbers the (k + 1)-grams by the number of
+        the k-gram before and the next byte; wide arrays are made for ``PART`` places at a time.
+        """
         d = self.depth
         full = d + self.sizes + self.ends
         heads = np.cumsum(full) - full
-        line = np.zeros(int(full.sum()), np.uint8)
-        line[T.ragged(heads, np.full(self.n, d))] = self.before
-        line[T.ragged(heads + d, self.sizes)] = self.data
+        before = (heads[:, None] + np.arange(d)).ravel()
+        inside = np.ones(int(full.sum()), bool)
+        inside[before] = False
+        inside[(heads + full - 1)[self.ends]] = False
+        line = np.zeros(len(inside), np.uint8)
+        line[before] = self.before
+        line[inside] = self.data
         present = np.zeros(256, bool)
         present[line] = present[0] = True
         letters = np.flatnonzero(present)
-        code = np.zeros(256, np.int32)
+        code = np.zeros(256, np.uint8)
         code[letters] = np.arange(len(letters))
-        codes, keys, ids = code[line], letters.astype(np.int64), code[line]
-        for _ in range(d):  # ids of k-grams become ids of (k + 1)-grams
-            pair = ids[:-1].astype(np.int64) * len(letters) + codes[len(codes) - len(ids) + 1 :]
+        codes, keys = code[line], letters.astype(np.int64)
+        ids = codes.astype(np.int32)
+        for _ in range(d):
             seen = np.zeros(len(keys) * len(letters), bool)
-            seen[pair] = True
+            for i in range(len(line) - 1, 0, -PART):  # from the end, as ids are replaced where they stand
+                low = max(1, i - PART + 1)
+                pair = ids[low - 1 : i].astype(np.int64) * len(letters) + codes[low : i + 1]
+                seen[pair] = True
             found = np.flatnonzero(seen)
             number = np.zeros(len(seen), np.int32)
             number[found] = np.arange(len(found), dtype=np.int32)
-            ids = number[pair]
+            for i in range(len(line) - 1, 0, -PART):
+                low = max(1, i - PART + 1)
+                ids[low : i + 1] = number[ids[low - 1 : i].astype(np.int64) * len(letters) + codes[low : i + 1]]
+            ids[0] = 0
             keys = (keys[found // len(letters)] << 8) | letters[found % len(letters)]
-        counts = self.sizes + self.ends
-        at = T.ragged(heads, counts)  # the gram that starts at heads + i ends at heads + d + i
-        ids = ids[at]
-        used = np.zeros(len(keys), bool)
-        used[ids] = True
-        again = np.cumsum(used) - 1
-        return keys[used], again[ids], np.repeat(np.arange(self.n), counts)
+        used = np.zeros(len(keys) + 1, bool)
+        outside = np.ones(len(line), bool)
+        outside[before] = False
+        used[ids[outside]] = True
+        again = (np.cumsum(used) - 1).astype(np.int32)
+        kept = keys[used[:-1]]
+        ids = again[ids]
+        ids[before] = len(kept)
+        return kept, ids
+
+    def of_pieces(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the places of each piece."""
+        full = self.depth + self.sizes + self.ends
+        return np.add.reduceat(values, np.cumsum(full) - full)
+
+    def taught(self) -> np.ndarray:
+        """Whether each place is in a training text."""
+        return np.repeat(~self.held, self.depth + self.sizes + self.ends)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the different words, ascending; for each word its number and the piece it is in."""
@@ -159,8 +185,12 @@ def _symbols(table: DataFrame, depth: int, kind: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own = Block(row, depth)
-                keys, number, piece = own.grams() if kind == GRAM else own.words()
-                n = np.bincount(number[~own.held[piece]], minlength=len(keys))
+                if kind == GRAM:
+                    keys, number = own.grams()
+                    n = np.bincount(number[own.taught()], minlength=len(keys) + 1)[: len(keys)]
+                else:
+                    keys, number, piece = own.words()
+                    n = np.bincount(number[~own.held[piece]], minlength=len(keys))
                 for i in range(0, len(keys), 1 << 18):
                     k = keys[i : i + (1 << 18)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), row["block"], np.int64)), pa.array(k), pa.array(n[i : i + len(k)])], names=["block", "key", "n"])
@@ -245,25 +275,28 @@ PIECES = t.StructType([t.StructField(n, k) for n, k in [("row", t.LongType()), (
 
 
 def _score(depth: int):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:  # noqa: ANN001
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Block(left.to_pylist()[0], depth)
         kind = right.column("kind").to_numpy()
         keys, values, fresh = (right.column(c).to_numpy() for c in ("key", "value", "fresh"))
-        out = {}
-        for what, (known, number, piece) in ((WORD, own.words()), (GRAM, own.grams())):
+
+        def looked_up(what: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             mine = np.flatnonzero(kind == what)
             mine = mine[np.argsort(keys[mine])]
             if not np.array_equal(keys[mine], known):
                 raise ValueError("a block's symbols have changed since they were counted")
-            value = values[mine][number] if len(mine) else np.zeros(0)
-            out[what] = np.bincount(piece, weights=value, minlength=own.n)
-            if what == WORD:
-                # the value of a word is log10(count + 1)
-                n_words, n_known = (np.bincount(p, minlength=own.n) for p in (piece, piece[value > 0]))
-                new = int(fresh[mine].sum())
+            return values[mine], fresh[mine]
+
+        known, number, piece = own.words()
+        value, new_word = looked_up(WORD, known)  # log10(count + 1)
+        value = value[number]
+        word_sum, n_words, n_known = np.bincount(piece, weights=value, minlength=own.n), np.bincount(piece, minlength=own.n), np.bincount(piece[value > 0], minlength=own.n)
+        del number, piece, value
+        known, number = own.grams()
+        gram_sum = own.of_pieces(np.append(looked_up(GRAM, known)[0], 0.0)[number])
         first = np.zeros(own.n, np.int64)
-        first[0] = new
-        return pa.table([pa.array(own.rows), pa.array(own.doc_ids, pa.int64()), pa.array(own.held), pa.array(own.ends), pa.array(n_words.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(out[WORD]), pa.array(out[GRAM]), pa.array(own.sizes), pa.array(first)], names=PIECES.names)
+        first[0] = int(new_word.sum())
+        return pa.table([pa.array(own.rows), pa.array(own.doc_ids, pa.int64()), pa.array(own.held), pa.array(own.ends), pa.array(n_words.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(word_sum), pa.array(gram_sum), pa.array(own.sizes), pa.array(first)], names=PIECES.names)
 
     return run
 
@@ -275,9 +308,10 @@ def score(df: DataFrame, depth: int = DEPTH, size: int = BLOCK) -> DataFrame:
     empty counts. Words are told apart by a 64-bit hash. Only doc_id and text are read.
     """
     table = staged(blocks(df, depth, size))
-    grams = staged(_symbols(table, depth, GRAM).groupBy("key").agg(F.sum("n").alias("n")))
+    asked = staged(_symbols(table, depth, GRAM))
+    grams = staged(asked.groupBy("key").agg(F.sum("n").alias("n")))
     values = staged(train(grams, depth))
-    of_grams = _symbols(table, depth, GRAM).select("block", "key").join(values, "key").select("block", F.lit(GRAM).alias("kind"), "key", "value", F.lit(0).alias("fresh"))
+    of_grams = asked.select("block", "key").join(values, "key").select("block", F.lit(GRAM).alias("kind"), "key", "value", F.lit(0).alias("fresh"))
     # a word's count over all blocks, beside each of its rows; one of them tells that there is such a word
     same = Window.partitionBy("key")
     total = F.sum("n").over(same)
