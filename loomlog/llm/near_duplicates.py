@@ -116,7 +116,7 @@ def band_keys(found: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray
 
 
 def _signed(df: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, key, size, bands) of each row."""
+    """(doc_id, row, key, size, bands) of each row; ``row`` is a hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
@@ -124,9 +124,13 @@ def _signed(df: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                 column = T.column(batch.column("text"))
                 found = sets(*column, n)
                 keys = set_keys(found, *column)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array([len(s) for s in found], pa.int64()), pa.array(band_keys(found, bands, rows), pa.list_(pa.int64()))], names=["doc_id", "key", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(keys), pa.array([len(s) for s in found], pa.int64()), pa.array(band_keys(found, bands, rows), pa.list_(pa.int64()))], names=["doc_id", "row", "key", "size", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, key long, size long, bands array<long>")
+    return df.select("doc_id", "text", _row_hash().alias("row")).mapInArrow(run, "doc_id long, row long, key long, size long, bands array<long>")
+
+
+def _row_hash():  # noqa: ANN202
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
 def _sets_of(df: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -192,6 +196,10 @@ def join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
     a 64-bit hash. Null and empty texts have no n-grams; they and other texts without words are alike only if equal byte for byte. Repeated rows are
     copies of each other. Only doc_id and text are read.
     """
+    return _joined(df, similarity, recall, n).select("doc_id", "class_id", "text_id", "n_links", "n_texts")
+
+
+def _joined(df: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
     df = docs.texts(df)
     bands, rows = banding(similarity, recall)
     signed = staged(_signed(df, bands, rows, n))
@@ -226,9 +234,9 @@ def join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
     per_text = staged(again(texts).select("key", "doc_id", "copies").join(again(named).select("key", "component"), "key", "left").join(counted, "key", "left").withColumn("component", F.coalesce("component", "key")))
     classes = again(per_text).groupBy("component").agg(F.min("doc_id").alias("class_id"))
     per_text = per_text.join(classes, "component").select(
-        "key", F.col("doc_id").alias("text_id"), "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
+        "key", "component", F.col("doc_id").alias("text_id"), "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
     )
-    return again(signed).select("doc_id", "key").join(per_text, "key").select("doc_id", "class_id", "text_id", "n_links", "n_texts")
+    return again(signed).select("doc_id", "row", "key").join(per_text, "key")
 
 
 def _link_counts(named: DataFrame, texts: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -296,10 +304,14 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, all columns, that stand for their class: the smallest doc_id, and of several rows with it the smallest text and so on."""
-    found = join(df).select(F.col("doc_id").alias("kept_id"), "class_id").where(F.col("kept_id").eqNullSafe(F.col("class_id"))).select("kept_id").distinct()
-    kept = df.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``df``, all columns, that stand for their class: the one with the smallest doc_id (null ids last, equal ids by a hash of the text).
+
+    Repeated rows with one doc_id and text are one document.
+    """
+    joined = _joined(df, SIMILARITY, RECALL, NGRAM)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = joined.groupBy("component").agg(first).select(F.col("first.row").alias("__row"))
+    return df.withColumn("__row", _row_hash()).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def op4(spark: SparkSession, path: str) -> DataFrame:
