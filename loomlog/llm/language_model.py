@@ -296,7 +296,7 @@ def _score(depth: int):
         gram_sum = own.of_pieces(np.append(looked_up(GRAM, known)[0], 0.0)[number])
         first = np.zeros(own.n, np.int64)
         first[0] = int(new_word.sum())
-        return pa.table([pa.array(own.rows), pa.array(own.doc_ids, pa.int64()), pa.array(own.held), pa.array(own.ends), pa.array(n_words.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(word_sum), pa.array(gram_sum), pa.array(own.sizes), pa.array(first)], names=PIECES.names)
+        return pa.table([pa.array(own.rows), pa.array(own.doc_ids, pa.int64()), pa.array(own.held), pa.array(own.ends), pa.array(n_words.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(word_sum.astype(np.float64)), pa.array(gram_sum), pa.array(own.sizes), pa.array(first)], names=PIECES.names)
 
     return run
 

@@ -4,10 +4,10 @@ Texts become sets of hashes of ``NGRAM`` consecutive words. Texts of one set are
 into bands; the numbers of bands and rows follow from the similarity and the recall asked for. Texts that agree in a band share a bucket,
 and candidate pairs are compared on their full sets.
 
-Groups of near copies may be large, so their pairs are never listed. First each text is compared with one text of its buckets, then
-with the pivots of the others, then with what shares a bucket and is still in another component. Components are
-final after that: every pair of a bucket is joined already or was compared. How many links a text has is
-counted inside its component, by tiles of texts against tiles, each tile of ``TILE`` n-grams.
+Groups of near copies may be large, so their pairs are never listed. First each text is compared with the pivot of one of its buckets, then
+with the pivots of the others. Buckets that still hold several components are compared in tiles of ``TILE`` n-grams, tile against
+tile by matrix products, and give no more links than they have texts. Components are final after that: every pair of a
+bucket is joined already or was compared. How many links a text has is counted inside its component, by tiles as well.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ NGRAM = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MOST_HASHES = 200
-TILE = 1 << 19
+TILE = 1 << 17
 COMMON = 32
 _COLUMNS = 4096
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -222,13 +222,9 @@ def _joined(df: DataFrame, similarity: float, recall: float, n: int) -> DataFram
     more = staged(_compared(apart.join(links, ["a", "b"], "left_anti"), again(grams), similarity))
     links = staged(links.union(more))
     named = components(links)
-    placed = staged(with_component(members.select("bucket", "key", "size"), "key", "component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    placed = staged(again(placed).join(mixed, "bucket"))
-    other = again(placed).select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    few = (F.col("size") >= F.col("size_b") * similarity - 1e-9) & (F.col("size_b") >= F.col("size") * similarity - 1e-9)
-    rest = placed.join(other, "bucket").where((F.col("key") < F.col("b")) & (F.col("component") != F.col("component_b")) & few).select(F.col("key").alias("a"), "b").distinct()
-    more = staged(_compared(rest, again(grams), similarity))
+    mixed = staged(with_component(members.select("bucket", "key", "size"), "key", "component"))
+    several = again(mixed).groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    more = staged(_tiled(mixed.join(several, "bucket"), ["bucket"], again(grams)).applyInArrow(_forest_of(similarity), "a long, b long").distinct())
     named = components(staged(links.union(more)))
     counted = _link_counts(again(named).select("key", "component"), again(texts).select("key", "copies", "size"), again(grams), similarity)
     per_text = staged(again(texts).select("key", "doc_id", "copies").join(again(named).select("key", "component"), "key", "left").join(counted, "key", "left").withColumn("component", F.coalesce("component", "key")))
@@ -239,32 +235,64 @@ def _joined(df: DataFrame, similarity: float, recall: float, n: int) -> DataFram
     return again(signed).select("doc_id", "row", "key").join(per_text, "key")
 
 
+def _tiled(members: DataFrame, group: list[str], grams: DataFrame):  # noqa: ANN202
+    """Members of each group in tiles of about ``TILE`` n-grams, each tile beside each other one (columns i and j), with their sets."""
+    members = staged(members)
+    tiles = again(members).groupBy(*group).agg((F.floor(F.sum("size") / TILE) + 1).cast("int").alias("tiles"))
+    own = members.join(tiles, group).withColumn("tile", F.pmod(F.hash("key"), F.col("tiles")))
+    own = own.join(grams, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return own.drop("tiles").withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).groupBy(*group, "i", "j")
+
+
+def _tile_links(group: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Rows of the two tiles, which of them are linked, and whether both are one tile."""
+    tile = group.column("tile").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    held = [np.frombuffer(g.as_py(), np.uint64) for g in group.column("grams")]
+    sizes = np.array([len(g) for g in held])
+    a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    return a, b, _linked(intersections([held[k] for k in a], [held[k] for k in b]), sizes[a][:, None], sizes[b][None, :], similarity), i == j
+
+
+def _forest_of(similarity: float):  # noqa: ANN202
+    """Links between components within two tiles, as few as keep what is joined together: fewer than there are texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = group.column("key").to_numpy()
+        _, root = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        a, b, linked, _ = _tile_links(group, similarity)
+        out = []
+        while True:
+            cross = linked & (root[a][:, None] != root[b][None, :])
+            rows = np.flatnonzero(cross.any(1))
+            if not len(rows):
+                break
+            for r, c in zip(a[rows], b[cross[rows].argmax(1)], strict=True):
+                if root[r] != root[c]:
+                    out.append((keys[r], keys[c]))
+                    root[root == root[c]] = root[r]
+        return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _link_counts(named: DataFrame, texts: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """(key, n_links, n_texts): linked rows and linked texts of each text of a component.
 
-    A component is cut into tiles of about ``TILE`` n-grams; a task compares two tiles and sends a number per text.
+    A task compares two tiles of a component and sends a number per text.
     """
-    members = staged(named.join(texts, "key"))
-    tiles = members.groupBy("component").agg((F.floor(F.sum("size") / TILE) + 1).cast("int").alias("tiles"))
-    own = again(members).join(tiles, "component").withColumn("tile", F.pmod(F.hash("key"), F.col("tiles")))
-    own = own.join(grams, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = own.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "key", "copies", "grams")
 
     def count(group: pa.Table) -> pa.Table:
-        tile, keys, copies = (group.column(c).to_numpy() for c in ("tile", "key", "copies"))
-        held = [np.frombuffer(g.as_py(), np.uint64) for g in group.column("grams")]
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        sizes = np.array([len(g) for g in held])
-        linked = _linked(intersections([held[k] for k in a], [held[k] for k in b]), sizes[a][:, None], sizes[b][None, :], similarity)
-        if i == j:
+        keys, copies = group.column("key").to_numpy(), group.column("copies").to_numpy()
+        a, b, linked, one = _tile_links(group, similarity)
+        if one:
             np.fill_diagonal(linked, False)
         found = [(keys[a], linked @ copies[b], linked.sum(1))]
-        if i != j:
+        if not one:
             found.append((keys[b], linked.T @ copies[a], linked.sum(0)))
         return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], names=["key", "n_links", "n_texts"])
 
-    counts = pairs.groupBy("component", "i", "j").applyInArrow(count, "key long, n_links long, n_texts long")
+    counts = _tiled(named.join(texts, "key"), ["component"], grams).applyInArrow(count, "key long, n_links long, n_texts long")
     return counts.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.sum("n_texts").alias("n_texts"))
 
 
