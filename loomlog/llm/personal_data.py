@@ -11,6 +11,7 @@ nothing is looked up in the text again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,29 +43,35 @@ def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda a plain column expression is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _luhn(match: Column) -> Column:
-    digits = F.reverse(_digits(match))
-    n = F.length(digits)
+    def of(digits: Column) -> Column:
+        def term(i: Column) -> Column:
+            d = F.substr(digits, i, F.lit(1)).cast("int")
+            twice = d * 2
+            return F.when(i % 2 == 1, d).when(twice > 9, twice - 9).otherwise(twice)
 
-    def term(i: Column) -> Column:
-        d = F.substr(digits, i, F.lit(1)).cast("int")
-        twice = d * 2
-        return F.when(i % 2 == 1, d).when(twice > 9, twice - 9).otherwise(twice)
+        total = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + term(i))
+        return F.when(F.length(digits).between(12, 19), total % 10 == 0).otherwise(False)
 
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda s, i: s + term(i))
-    return n.between(12, 19) & (total % 10 == 0)
+    return _let(F.reverse(_digits(match)), of)
 
 
 def _mod97(match: Column) -> Column:
-    compact = F.replace(match, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4)))
+    def of(compact: Column) -> Column:
+        def step(rest: Column, i: Column) -> Column:
+            c = F.ascii(F.substr(compact, i, F.lit(1)))
+            return F.when(c < 65, (rest * 10 + c - 48) % 97).otherwise((rest * 100 + c - 55) % 97)
 
-    def step(rest: Column, i: Column) -> Column:
-        c = F.ascii(F.substr(turned, i, F.lit(1)))
-        return F.when(c < 65, (rest * 10 + c - 48) % 97).otherwise((rest * 100 + c - 55) % 97)
+        # the country code and check digits come last
+        order = F.concat(F.sequence(F.lit(5), F.length(compact)), F.sequence(F.lit(1), F.lit(4)))
+        return F.when(F.length(compact).between(15, 34), F.aggregate(order, F.lit(0), step) == 1).otherwise(False)
 
-    rest = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(turned), F.lit(1))), F.lit(0), step)
-    return F.length(compact).between(15, 34) & (rest == 1)
+    return _let(F.replace(match, F.lit(" "), F.lit("")), of)
 
 
 _CHECKS = {
@@ -90,15 +97,26 @@ EXTRA = [
 
 def running_sums(lengths: Column) -> Column:
     """Sums of an array of bigints up to and with each element, by chunks so that long arrays don't cost their square."""
-    last = (F.greatest(F.size(lengths) - 1, F.lit(0)) / _CHUNK).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(lengths, k * _CHUNK + 1, _CHUNK))
-    totals = F.transform(chunks, _sum)
 
-    def one(chunk: Column, k: Column) -> Column:
-        before = _sum(F.slice(totals, 1, k))
-        return F.transform(chunk, lambda x, i: before + _sum(F.slice(chunk, 1, i + 1)))
+    def of_chunk(chunk: Column, before: Column) -> Column:
+        return F.transform(chunk, lambda _, i: before + _sum(F.slice(chunk, F.lit(1), i + 1)))
+
+    def of_chunks(chunks: Column, totals: Column) -> Column:
+        return F.flatten(F.transform(chunks, lambda chunk, k: _let(_sum(F.slice(totals, F.lit(1), k)), lambda before: of_chunk(chunk, before))))
+
+    def of_all(values: Column) -> Column:
+        last = (F.greatest(F.size(values) - 1, F.lit(0)) / _CHUNK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * _CHUNK + 1, F.lit(_CHUNK)))
+        return _let(cut, lambda chunks: _let(F.transform(chunks, _sum), lambda totals: of_chunks(chunks, totals)))
 
-    return F.flatten(F.transform(chunks, one))
+    return _let(lengths, of_all)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>"
 
 
 def _matched(df: DataFrame, text: str, kind: Kind, found: str, pieces: str) -> DataFrame:
@@ -108,32 +126,35 @@ def _matched(df: DataFrame, text: str, kind: Kind, found: str, pieces: str) -> D
     return df.withColumn(pieces, F.when(F.size(found) > 0, F.split(text, kind.pattern, -1)))
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x)
-
+def _spans(kind: Kind, rank: int, found: str, pieces: str) -> Column:
+    def of(found: Column, pieces: Column, lengths: Column, ends: Column) -> Column:
+        def span(match: Column, i: Column) -> Column:
+            near = F.lower(F.right(F.get(pieces, i), F.lit(CONTEXT_CHARS))).rlike(kind.context)
+            score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
+            return F.struct(
+                (F.get(ends, i) - F.get(lengths, i)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), F.get(ends, i).alias("end"),
+                F.when(kind.confirms(match), score).alias("score"),
+            )
 
-SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>"
+        least = THRESHOLD if kind in EXTRA else 0.0
+        return F.filter(F.transform(found, span), lambda s: s["score"] >= least)  # an unconfirmed match has no score
 
+    def with_ends(found: Column, pieces: Column, lengths: Column) -> Column:
+        # a match ends where the pieces and matches up to it end
+        ends = running_sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), lengths, lambda p, n: F.length(p) + n))
+        return _let(ends, lambda e: of(found, pieces, lengths, e))
 
-def _spans(kind: Kind, rank: int) -> Column:
-    found, pieces = F.col(f"__m_{kind.name}"), F.col(f"__p_{kind.name}")
-    lengths = F.transform(found, lambda m: F.length(m).cast("bigint"))
-    # a match ends where the pieces and matches up to it end
-    ends = running_sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), lengths, lambda p, n: F.length(p) + n))
+    matches, around = F.col(found), F.col(pieces)
+    lengths = F.transform(matches, lambda m: F.length(m).cast("bigint"))
+    made = _let(matches, lambda f: _let(around, lambda p: _let(lengths, lambda n: with_ends(f, p, n))))
+    return F.when(F.size(matches) > 0, made).otherwise(F.array().cast(SPAN))
 
-    def span(match: Column, i: Column) -> Column:
-        near = F.lower(F.right(F.get(pieces, i), F.lit(CONTEXT_CHARS))).rlike(kind.context)
-        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
-        end = F.get(ends, i)
-        return F.struct(
-            (end - F.get(lengths, i)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"),
-            F.when(kind.confirms(match), score).alias("score"),
-        )
 
-    made = F.filter(F.transform(found, span), lambda s: s["score"].isNotNull())
-    if kind in EXTRA:
-        made = F.filter(made, lambda s: s["score"] >= THRESHOLD)
-    return F.when(F.size(found) > 0, made).otherwise(F.array().cast(SPAN))
+def _free(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
 
 
 def find(df: DataFrame, text: str = "text", out: str = "spans", kinds: list[Kind] | None = None) -> DataFrame:
@@ -144,12 +165,13 @@ def find(df: DataFrame, text: str = "text", out: str = "spans", kinds: list[Kind
     """
     kinds = BASE + EXTRA if kinds is None else kinds
     columns = [c for c in df.columns if c != out]
+    own = {k.name: [_free(f"__{part}_{k.name}", df.columns) for part in ("found", "pieces", "spans")] for k in kinds}
     made = df
     for kind in kinds:
-        made = _matched(made, text, kind, f"__m_{kind.name}", f"__p_{kind.name}")
+        made = _matched(made, text, kind, *own[kind.name][:2])
     for rank, kind in enumerate(kinds):
-        made = made.withColumn(f"__s_{kind.name}", _spans(kind, rank))
-    return made.select(*columns, F.array_sort(F.concat(*[F.col(f"__s_{k.name}") for k in kinds])).alias(out))
+        made = made.withColumn(own[kind.name][2], _spans(kind, rank, *own[kind.name][:2]))
+    return made.select(*columns, F.array_sort(F.concat(*[F.col(own[k.name][2]) for k in kinds])).alias(out))
 
 
 def redact(df: DataFrame, text: str = "text", kinds: list[Kind] | None = None) -> DataFrame:
@@ -158,12 +180,13 @@ def redact(df: DataFrame, text: str = "text", kinds: list[Kind] | None = None) -
     A null text stays null. No bracketed word can be matched again.
     """
     columns = df.columns
+    found, pieces = _free("__found", columns), _free("__pieces", columns)
     for kind in BASE + EXTRA if kinds is None else kinds:
         # a projection of its own for each kind; the next one reads what it made
-        df = _matched(df, text, kind, "__found", "__pieces")
+        df = _matched(df, text, kind, found, pieces)
 
-        joined = F.array_join(F.zip_with(F.col("__pieces"), F.col("__found"), _shown(kind)), "")
-        df = df.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(F.col(text))).drop("__found", "__pieces")
+        joined = F.array_join(F.zip_with(F.col(pieces), F.col(found), _shown(kind)), "")
+        df = df.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(F.col(text))).drop(found, pieces)
     return df.select(*columns)
 
 

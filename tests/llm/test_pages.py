@@ -30,7 +30,7 @@ def test_cases(case):
 
 
 def test_open_blocks_follow_their_nearest_neighbours():
-    found = [M.Block(x, 0, 0, False) for x in (STORY, "The end of it", "More of it", "x y z " * 60, "What is it", "z x y " * 60)]
+    found = [M.Block(x, 0, 0, False) for x in (STORY, "The end of it", "More of it", "xx zz ww " * 60, "What is it", "zz xx ww " * 60)]
     assert [b.label for b in M.label(found)] == [True, True, False, False, False, False]
 
 
