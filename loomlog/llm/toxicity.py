@@ -28,6 +28,7 @@ CHI2 = 10.83  # one in a thousand
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.5
 PER_BLOCK = 64
+UNKNOWN = 0.49  # without any evidence no text is called toxic
 PREFIXES = (4, 5)
 ROWS = 512
 _SLACK = 1e-4
@@ -237,7 +238,7 @@ def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int
 def scores(df: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """Per row: doc_id, score, and the ``evidence`` nearest examples as ``id:cosine:label``, comma-joined.
 
-    Null and empty texts, and texts without a known term, get the score of the prior and no evidence. Equal texts score alike.
+    Null and empty texts, and texts like no example, get the score of the prior, ``UNKNOWN`` at most, and no evidence. Equal texts score alike.
     """
     held = df.sparkSession.sparkContext.broadcast(index)
 
@@ -257,7 +258,8 @@ def judge(index: Index, data: np.ndarray, offsets: np.ndarray, evidence: int = 0
     q = index.weights(*known_terms(index.vocabulary, data, offsets), n)
     cosines, who = index.nearest(q, NEIGHBOURS)
     shown = [",".join(f"{index.ids[w]}:{c:.4f}:{index.labels[w]}" for c, w in zip(cosines[i, :evidence], who[i, :evidence], strict=True) if c > 0) for i in range(n)]
-    return index.calibrate(index.votes(cosines, who)).astype(np.float64), shown
+    score = index.calibrate(index.votes(cosines, who)).astype(np.float64)
+    return np.where(cosines.sum(1) > 0, score, np.minimum(score, UNKNOWN)), shown
 
 
 def clean(df: DataFrame, index: Index) -> DataFrame:
