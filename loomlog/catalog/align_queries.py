@@ -130,8 +130,8 @@ def tracked(s, d):
 
 def spatial_log(s, d):
     """Logs placed in the points' space: position from a point chosen by the key."""
-    pts = surface_points(s, d).where("id < 200").select(F.col("id"), "grp", F.col("x").alias("px"), F.col("y").alias("py"), "s1")
-    log = seq_log(s, d).withColumn("id", F.pmod(F.col("well_id").cast("bigint"), F.lit(200)))
+    pts = surface_points(s, d).select(F.col("id"), "grp", F.col("x").alias("px"), F.col("y").alias("py"), "s1")
+    log = seq_log(s, d).withColumn("id", F.pmod(F.col("well_id").cast("bigint"), F.lit(pts.count())))  # ids count from 0
     return staged(log.join(pts, "id").drop("x", "y", "id").withColumnsRenamed({"px": "x", "py": "y"}))
 
 

@@ -146,6 +146,6 @@ query("candidate_path_scores", lambda s, d: paths(s, d)[0].select(*ID, "endpoint
 
 query("contact_reconstruction", lambda s, d: op.contact_reconstruction(seq_log(s, d), ref_curve(s, d), "y", "view").select(*ID, "ref_tvt", "contact_tvt"),
       """SELECT well_id, row_idx, ref_tvt, raw + avg(tvt_input - raw) OVER (PARTITION BY well_id) AS contact_tvt FROM (
-      SELECT *, ref_tvt - (z - y) AS raw FROM seq_log JOIN (SELECT well_id, coalesce(min(tvt) FILTER (geology = 'view'), arg_min(tvt, struct_pack(g := geology, t := tvt))) AS ref_tvt
+      SELECT *, ref_tvt - (z - y) AS raw FROM seq_log JOIN (SELECT well_id, coalesce(min(tvt) FILTER (geology = 'view'), min(tvt) FILTER (geology IS NOT NULL)) AS ref_tvt
         FROM ref_curve GROUP BY 1) USING (well_id))""",
       ctes=CURVE_CTE, floats="ref_tvt contact_tvt")

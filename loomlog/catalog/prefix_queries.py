@@ -87,9 +87,13 @@ steps AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY row_idx DES
   SELECT well_id, row_idx, tvt_input, tvt_input - lag(tvt_input) OVER w AS dt, md - lag(md) OVER w AS dm, z - lag(z) OVER w AS dz
   FROM seq_log WINDOW w AS (PARTITION BY well_id ORDER BY row_idx)) WHERE dt IS NOT NULL AND dm > 0)"""
 query("rate_init", lambda s, d: op.rate_init(seq_log(s, d)).join(op.rate_init(seq_log(s, d), 20, False).withColumnRenamed("rate", "rate_plain"), "well_id"),
-      """SELECT well_id, coalesce(CASE WHEN count(*) FILTER (back <= 30) >= 3 THEN quantile_cont((dt + dz) / dm, 0.5) FILTER (back <= 30) END, 0) AS rate,
-      coalesce(CASE WHEN count(*) FILTER (back <= 20) >= 3 THEN quantile_cont(dt / dm, 0.5) FILTER (back <= 20) END, 0) AS rate_plain FROM steps GROUP BY 1""",
-      ctes=_STEPS, floats="rate rate_plain")
+      """SELECT well_id, coalesce(CASE WHEN count(*) FILTER (back < 30 AND dm > 0) >= 3 THEN quantile_cont((dt + dz) / dm, 0.5) FILTER (back < 30 AND dm > 0) END, 0) AS rate,
+      coalesce(CASE WHEN count(*) FILTER (back < 20 AND dm > 0) >= 3 THEN quantile_cont(dt / dm, 0.5) FILTER (back < 20 AND dm > 0) END, 0) AS rate_plain
+      FROM (SELECT DISTINCT well_id FROM seq_log) LEFT JOIN known_steps USING (well_id) GROUP BY 1""",
+      ctes=SEQ_CTE + """,
+known_steps AS (SELECT well_id, tvt_input - lag(tvt_input) OVER w AS dt, md - lag(md) OVER w AS dm, z - lag(z) OVER w AS dz,
+  row_number() OVER (PARTITION BY well_id ORDER BY row_idx DESC) AS back
+  FROM seq_log WHERE tvt_input IS NOT NULL WINDOW w AS (PARTITION BY well_id ORDER BY row_idx))""", floats="rate rate_plain")
 
 query("z_coupling", lambda s, d: op.z_coupling(seq_log(s, d)),
       """SELECT well_id, b AS beta, a AS intercept, greatest(stddev_pop(dt / dm - a - b * dz / dm), 0.001) AS noise FROM steps JOIN (

@@ -66,7 +66,7 @@ query("stable_seed", lambda s, d: seq_log(s, d).select("well_id").distinct().sel
 query("fingerprint", lambda s, d: ids.fingerprint(pred_vectors(s, d).withColumn("pred", F.round("a", 2)), digits=2))
 query("fallback_fill",
       lambda s, d: ids.fallback_fill(pred_vectors(s, d).withColumns({"p": F.when(F.col("z") > 0.05, F.col("a")), "l": F.when(F.col("z") > 0.02, F.col("c")), "dl": F.col("b") - F.col("c")}), "p", "l", "dl").select("id", "filled"),
-      """SELECT id, coalesce(CASE WHEN z > 0.05 THEN a END, CASE WHEN z > 0.02 THEN c END, (SELECT avg(CASE WHEN z > 0.02 THEN c END) + avg(b - c) FROM pred_vectors)) AS filled FROM pred_vectors""", ctes=PRED_CTE, floats="filled", digits=3)
+      """SELECT id, coalesce(CASE WHEN z > 0.05 THEN a END, CASE WHEN z > 0.02 THEN c END, mean) AS filled FROM pred_vectors CROSS JOIN scalars""", ctes=PRED_CTE + ", scalars AS MATERIALIZED (SELECT avg(CASE WHEN z > 0.02 THEN c END) + avg(b - c) AS mean FROM pred_vectors)", floats="filled", digits=3)
 
 
 def folder(s) -> str:

@@ -29,8 +29,8 @@ def pairs(s, d):
 
 
 query("candidate_signatures", pairs,
-      f"""SELECT DISTINCT t.well_id AS key, concat(c.well_id, '_c') AS donor FROM (SELECT well_id, avg(x) AS mx, avg(y) AS my, count(*) AS n, round_even(sum(gr), 3) AS sg FROM seq_log GROUP BY 1) t
-      JOIN (SELECT well_id, avg(x) AS mx, avg(y) AS my, count(*) AS n, round_even(sum(gr), 3) AS sg FROM copies GROUP BY 1) c ON pow(t.mx - c.mx, 2) + pow(t.my - c.my, 2) <= 0.16 OR (t.n = c.n AND t.sg = c.sg)""",
+      f"""SELECT DISTINCT t.well_id AS key, concat(c.well_id, '_c') AS donor FROM (SELECT well_id, avg(x) AS mx, avg(y) AS my, count(*) AS n, round_even(sum(gr), 0) AS sg FROM seq_log GROUP BY 1) t
+      JOIN (SELECT well_id, avg(x) AS mx, avg(y) AS my, count(*) AS n, round_even(sum(gr), 0) AS sg FROM copies GROUP BY 1) c ON pow(t.mx - c.mx, 2) + pow(t.my - c.my, 2) <= 0.16 OR (t.n = c.n AND t.sg = c.sg)""",
       ctes=SEQ_CTE + ", " + COPIES)
 
 
@@ -53,7 +53,7 @@ def override(s, d):
 
 _OV = CURVE_CTE + """,
 rec AS (SELECT *, raw + avg(tvt_input - raw) OVER (PARTITION BY well_id) AS contact FROM (SELECT *, ref_tvt - (z - y) AS raw FROM seq_log JOIN (
-  SELECT well_id, coalesce(min(tvt) FILTER (geology = 'view'), arg_min(tvt, struct_pack(g := geology, t := tvt))) AS ref_tvt FROM ref_curve GROUP BY 1) USING (well_id))),
+  SELECT well_id, coalesce(min(tvt) FILTER (geology = 'view'), min(tvt) FILTER (geology IS NOT NULL)) AS ref_tvt FROM ref_curve GROUP BY 1) USING (well_id))),
 audit AS (SELECT *, CASE WHEN valid_rows < 60 THEN 'too few rows' WHEN known_rows < 30 THEN 'too few known' WHEN prefix_rmse > 8 THEN 'error too large' ELSE 'replaced' END AS reason FROM (
   SELECT well_id, count(contact) AS valid_rows, count(tvt_input - contact) AS known_rows, sqrt(avg(pow(tvt_input - contact, 2))) AS prefix_rmse FROM rec GROUP BY 1))"""
 query("guarded_override", lambda s, d: override(s, d)[0].where("tvt_input IS NULL").select(*ID, "reason", "new_pred"),

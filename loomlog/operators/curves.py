@@ -207,13 +207,13 @@ def candidate_paths(rows: DataFrame, curve: DataFrame, boundaries: DataFrame, st
 
 
 def contact_reconstruction(rows: DataFrame, curve: DataFrame, surface: str, label: str, x: str = "tvt", key: str = "well_id") -> DataFrame:
-    """Target rebuilt from a surface: reference position of ``label`` on the curve (first
-    label present if it is missing), minus height over the surface, plus the mean offset
+    """Target rebuilt from a surface: reference position of ``label`` on the curve (of the curve's first
+    label, going by ``x``, if it is missing), minus height over the surface, plus the mean offset
     to the known target."""
     ref = curve.groupBy(key).agg(
         F.min(F.when(F.col("geology") == label, F.col(x))).alias("_hit"),
-        F.min(F.when(F.col("geology").isNotNull(), F.struct("geology", x))).alias("_first"),
-    ).select(key, F.coalesce("_hit", F.col("_first")[x]).alias("ref_tvt"))
+        F.min(F.when(F.col("geology").isNotNull(), F.col(x))).alias("_first"),
+    ).select(key, F.coalesce("_hit", "_first").alias("ref_tvt"))
     raw = rows.join(ref, key).withColumn("_raw", F.col("ref_tvt") - (F.col("z") - F.col(surface)))
     shift = raw.groupBy(key).agg(F.avg(F.col("tvt_input") - F.col("_raw")).alias("_shift"))
     return raw.join(shift, key).withColumn("contact_tvt", F.col("_raw") + F.coalesce(F.col("_shift"), F.lit(0.0))).drop("_raw", "_shift")

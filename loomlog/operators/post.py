@@ -91,7 +91,7 @@ def causal_slope_clip(df: DataFrame, value: str, start: str, start_md: str, limi
             for i in range(len(pdf)):
                 if k[i] != now:
                     now, prev, prev_md = k[i], s[i], s_md[i]
-                reach = limit * max(m[i] - prev_md, 1e-6)
+                reach = limit * max(abs(m[i] - prev_md), 1e-6)
                 prev = min(max(x[i], prev - reach), prev + reach)
                 prev_md = m[i]
                 res[i] = prev

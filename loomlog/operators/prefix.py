@@ -161,10 +161,13 @@ def _steps(df: DataFrame, seq: Seq) -> DataFrame:
 
 
 def rate_init(df: DataFrame, recent: int = 30, with_z: bool = True, seq: Seq = SEQ) -> DataFrame:
-    """Median rate of (tvt + z), or of tvt alone, over the last known steps; 0 below 3 steps.
-    ``recent`` bounds the group, so the built-in exact percentile is enough."""
-    change = F.col("dtvt") + F.col("dz") if with_z else F.col("dtvt")
-    steps = last_rows(_steps(df, seq).select(seq.key, seq.pos, (change / F.col("dmd")).alias("_r")), recent, seq)
+    """Median rate of (tvt + z), or of tvt alone, over the steps between the last ``recent`` known rows
+    where md grows; 0 below 3 steps. The window and the percentile see ``recent`` rows per key at most."""
+    tail = last_rows(known(df).select(seq.key, seq.pos, "md", "z", "tvt_input"), recent, seq)
+    w = W.partitionBy(seq.key).orderBy(seq.pos)
+    dmd, dz, dtvt = (F.col(c) - F.lag(c).over(w) for c in ("md", "z", "tvt_input"))
+    tail = tail.select(seq.key, dmd.alias("_d"), (dtvt + dz if with_z else dtvt).alias("_c"))
+    steps = tail.where(F.col("_d") > 0).select(seq.key, (F.col("_c") / F.col("_d")).alias("_r"))
     rate = steps.groupBy(seq.key).agg(F.when(F.count("_r") >= 3, F.percentile("_r", F.lit(0.5))).alias("rate"))
     return df.select(seq.key).distinct().join(rate, seq.key, "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
 

@@ -19,8 +19,11 @@ def stage_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    # nothing named, as in tests: a folder of our own
-    return _own_dir.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if not sc.master.startswith("local"):
+        raise ValueError("name a shared folder in spark.checkpoint.dir: executors do not see each other's disks")
+    if sc.applicationId not in _own_dir:  # one machine, as in tests: a folder of our own
+        _own_dir[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_dir[sc.applicationId]
 
 
 def staged(df: DataFrame) -> DataFrame:

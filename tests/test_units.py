@@ -173,6 +173,29 @@ def test_canonical_names(spark):
     assert files.extra_numeric(df, ["Measured_Depth"]).columns == ["Measured_Depth", "raw_gamma_ray", "raw_other_one"]
 
 
+def test_depth_is_z_and_the_first_column_counts(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, "a")], "MD double, depth double, TVD double, X_Loc double, Layer string")
+    got = files.canonicalize(df, ("md", "z"))
+    assert got.columns == ["md", "x", "z", "geology"] and tuple(got.first()) == (1.0, 4.0, 2.0, "a")
+
+
+def test_rate_is_taken_between_the_last_known_rows(spark):
+    from loomlog.operators.prefix import rate_init
+
+    # md stands still once, and an unknown row lies inside the prefix: steps 2 / 1, 3 / 1 and 4 / 2 remain
+    rows = [("w", i, md, 0.0, t) for i, (md, t) in enumerate([(0.0, 0.0), (1.0, 2.0), (1.0, 9.0), (2.0, 12.0), (3.0, None), (4.0, 16.0), (5.0, None)])]
+    df = spark.createDataFrame(rows, "well_id string, row_idx long, md double, z double, tvt_input double")
+    assert rate_init(df).first()["rate"] == 2.0 and rate_init(df, recent=3).first()["rate"] == 0.0
+
+
+def test_a_donor_without_comparable_signal_is_rejected(spark):
+    from loomlog.operators.transfer import gated_transfer
+
+    rows = [(w, "d", i, 1.0, 1.0, None if w == "bare" else 5.0, 5.0, 2.0, 2.0, 0.0) for w in ("bare", "full") for i in range(60)]
+    df = spark.createDataFrame(rows, "well_id string, donor string, row_idx long, tvt_input double, copy_tvt double, gr double, copy_gr double, z double, copy_z double, pred double")
+    assert {r.well_id: r.accepted for r in gated_transfer(df, "pred")[1].collect()} == {"bare": False, "full": True}
+
+
 def test_ncc_tiny_is_finite(spark):
     pdf = pd.DataFrame({"well_id": "w", "row_idx": range(7), "md": range(7), "z": 0.0, "gr": [1.0, 2, 3, 4, 2, 3, 4], "tvt_input": [10.0, 11, 12, 13, np.nan, np.nan, np.nan]})
     got = align.prefix_ncc(to_spark(spark, pdf.astype({"md": float})), (1,), 1, 5, 3).toPandas()
