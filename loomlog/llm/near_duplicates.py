@@ -29,6 +29,7 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 MOST_HASHES = 200
 TILE = 1 << 17
+TILE_TEXTS = 1024
 COMMON = 32
 _COLUMNS = 4096
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -236,9 +237,10 @@ def _joined(df: DataFrame, similarity: float, recall: float, n: int) -> DataFram
 
 
 def _tiled(members: DataFrame, group: list[str], grams: DataFrame):  # noqa: ANN202
-    """Members of each group in tiles of about ``TILE`` n-grams, each tile beside each other one (columns i and j), with their sets."""
+    """Members of each group in tiles of about ``TILE`` n-grams and at most some ``TILE_TEXTS`` texts, each tile beside each other one (columns i and j), with their sets."""
     members = staged(members)
-    tiles = again(members).groupBy(*group).agg((F.floor(F.sum("size") / TILE) + 1).cast("int").alias("tiles"))
+    least = F.greatest(F.sum("size") / TILE, F.count("*") / TILE_TEXTS)  # short texts fill a matrix before they fill a tile
+    tiles = again(members).groupBy(*group).agg((F.floor(least) + 1).cast("int").alias("tiles"))
     own = members.join(tiles, group).withColumn("tile", F.pmod(F.hash("key"), F.col("tiles")))
     own = own.join(grams, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return own.drop("tiles").withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).groupBy(*group, "i", "j")

@@ -110,6 +110,7 @@ def portions(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
