@@ -97,7 +97,7 @@ def _round(rows: DataFrame, side: DataFrame, keys: list[str], pos: str, step, sc
         ref = right.filter(right["_state"].is_null()).drop_columns("_state") if right.num_rows else right
         ids = {name: v.as_py() for name, v in zip(keys, k)}
         out, state = step(tuple(ids.values()), _columns(left, pos, down), {c: ref[c].to_numpy() for c in ref.column_names if c not in keys}, state)
-        n = left.num_rows
+        n = len(out[pos])  # a step may give several rows for one
         rows = _table(out | {name: [v] * n for name, v in ids.items()} | {"_state": [None] * n}, full)
         last = {f.name: [None] for f in full} | {name: [v] for name, v in ids.items()} | {pos: [-1], "_state": [pickle.dumps(state)]}
         return pa.concat_tables([rows, _table(last, full)])
