@@ -102,7 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORD) ->
     return folded, starts, ends, rows, span_hashes(folded, starts, ends)
 
 
-def portions(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most ``most`` bytes of text, or of one row."""
     _, off = column(batch.column(name))
     i, n = 0, batch.num_rows

@@ -176,7 +176,7 @@ def write(df: DataFrame, folder: str, path: str | None = None) -> None:
         held: list[tuple] = []
         size = 0
         for whole in batches:
-            for batch in T.portions(whole, "text"):
+            for batch in T.portions(whole, "text", 4 << 20):
                 ids, counts = encode(*T.column(batch.column("text")), path)
                 held.append((batch.column("doc_id"), counts, ids))
                 size += len(ids)
