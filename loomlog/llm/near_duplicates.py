@@ -30,7 +30,7 @@ RECALL = 0.9999
 MOST_HASHES = 200
 TILE = 1 << 17
 TILE_TEXTS = 1024
-COMMON = 32
+COMMON = 8
 _COLUMNS = 4096
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
