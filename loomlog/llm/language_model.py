@@ -27,7 +27,7 @@ from loomlog.llm import documents as docs
 from loomlog.llm import text as T
 from loomlog.plans.stage import staged
 
-DEPTH = 4
+DEPTH = 5
 BLOCK = 16 << 20
 PART = 1 << 20
 HELD_OUT, MODULUS = 2, 7

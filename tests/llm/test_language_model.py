@@ -116,3 +116,10 @@ def test_oddities(spark):
         if repr(r.doc_id) in want:
             assert abs(r.base_score - want[repr(r.doc_id)][5]) < 1e-6
     assert M.score(tables.documents(spark, [])).count() == 0
+
+
+def test_default_depth_learns_from_five_bytes(spark):
+    rng = random.Random(3)  # the byte after "wxyz" follows from the fifth byte before it: one bit in six bytes is open, not two
+    rows = [(i, "".join(rng.choice(("1wxyzA", "2wxyzB")) for _ in range(300))) for i in range(30)]
+    got = [r.bits_per_byte for r in M.score(tables.documents(spark, rows)).collect() if r.held_out]
+    assert got and max(got) < 0.25
