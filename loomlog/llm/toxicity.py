@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 9).
 
-Terms are words and their first four and five bytes. Of a bounded sample of labelled rows (``EXAMPLES``, those with the smallest hash
-of their key) the ``TERMS`` terms that tell the labels apart best (chi-squared) form the vocabulary; document frequencies of these terms
-are counted over all documents. The examples are indexed term by term in blocks of ``PER_BLOCK``, with the largest
-weight of each term in each block. A text is compared with the blocks in order of their upper bounds until no bound reaches its
+Terms are words and their first four and five bytes. All terms of a bounded sample of labelled rows (``EXAMPLES``, those with the smallest hash
+of their key) form the vocabulary; document frequencies of these terms are counted over all documents. A term that tells the labels apart
+(chi-squared) weighs more, none is left out. The examples are indexed term by term in blocks of ``PER_BLOCK``, with the largest
+weight of each term in each block. A text is compared with the block of its highest upper bound first, then with those whose bound reaches its
 k-th best example; what is skipped cannot be among the nearest. The nearest vote with their cosines,
 and a logistic curve, fitted on the examples with each one left out, turns the votes into probabilities.
 """
@@ -23,8 +23,7 @@ from loomlog.llm import text as T
 from loomlog.plans.stage import staged
 
 EXAMPLES = 4000
-TERMS = 1000
-CHI2 = 10.83  # one in a thousand
+CHI2 = 10.83  # one in a thousand; so much chi-squared doubles the weight of a term
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.5
 PER_BLOCK = 64
@@ -61,53 +60,93 @@ def known_terms(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -
     return keys // max(1, len(vocabulary)), keys % max(1, len(vocabulary)), tf
 
 
+@dataclass
+class Query:
+    """Texts as TF-IDF rows of unit length (or of nothing): row, term number and weight of each entry, by row."""
+
+    rows: np.ndarray
+    numbers: np.ndarray
+    values: np.ndarray
+    n: int
+
+
 @dataclass
 class Index:
     """Block-max inverted index of the examples, with what scoring needs besides."""
 
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    bounds: np.ndarray  # terms x blocks, the largest weights
+    idf: np.ndarray  # with the weight by chi-squared
     block_terms: list[np.ndarray]
-    block_weights: list[np.ndarray]  # terms of the block x examples of the block
+    block_most: list[np.ndarray]  # the largest weight of each term of the block
+    block_postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # place of the term in the block, example of the block, weight
     labels: np.ndarray
     ids: np.ndarray
     prior: float
     slope: float = 1.0
     shift: float = 0.0
 
-    def weights(self, rows: np.ndarray, numbers: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
-        """TF-IDF rows of unit length (or of zeros), n x terms."""
-        out = np.zeros((n, len(self.vocabulary)), np.float32)
-        out[rows, numbers] = (1 + np.log(tf)) * self.idf[numbers]
-        norms = np.sqrt((out * out).sum(1, keepdims=True))
-        return out / np.where(norms > 0, norms, 1)
+    @property
+    def block_weights(self) -> list[np.ndarray]:
+        return [self.dense(b) for b in range(len(self.block_terms))]
 
-    def nearest(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def dense(self, b: int) -> np.ndarray:
+        """Terms of the block x examples of the block."""
+        place, example, weight = self.block_postings[b]
+        out = np.zeros((len(self.block_terms[b]), min(PER_BLOCK, len(self.labels) - b * PER_BLOCK)), np.float32)
+        out[place, example] = weight
+        return out
+
+    def weights(self, rows: np.ndarray, numbers: np.ndarray, tf: np.ndarray, n: int) -> Query:
+        values = (1 + np.log(tf)) * self.idf[numbers]
+        norms = np.sqrt(np.bincount(rows, values * values, n))
+        return Query(rows, numbers, (values / norms[rows]).astype(np.float32), n)
+
+    def nearest(self, q: Query | np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the k nearest examples of each row, ties by number; ``skip`` is an example to leave out per row."""
-        n, size = len(q), len(self.labels)
+        if isinstance(q, np.ndarray):
+            rows, numbers = np.nonzero(q)
+            q = Query(rows, numbers, q[rows, numbers], len(q))
+        n, size = q.n, len(self.labels)
         k = min(k, size)
         best = np.full((n, k), -1.0, np.float32)
         who = np.full((n, k), size, np.int64)
-        bounds = q @ self.bounds + _SLACK
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        open_rows = np.arange(n)
-        for step in range(len(self.block_terms)):
-            block = order[open_rows, step]
-            live = bounds[open_rows, block] >= best[open_rows, -1]
-            open_rows, block = open_rows[live], block[live]
-            if not len(open_rows):
-                break
-            for b in np.flatnonzero(np.bincount(block)):
-                rows = open_rows[block == b]
-                first = b * PER_BLOCK
-                scores = q[np.ix_(rows, self.block_terms[b])] @ self.block_weights[b]
-                numbers = np.broadcast_to(np.arange(first, first + scores.shape[1]), scores.shape)
-                if skip is not None:
-                    scores = np.where(numbers == skip[rows, None], -1, scores)
-                all_scores, all_numbers = np.concatenate([best[rows], scores], 1), np.concatenate([who[rows], numbers], 1)
-                top = np.lexsort((all_numbers, -all_scores), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_numbers, top, 1)
+        bounds = np.zeros((n, len(self.block_terms)))
+        if not n or not size:
+            return np.maximum(best, 0), who
+        where = np.full(len(self.vocabulary), -1, np.int32)
+
+        def places(b: int) -> np.ndarray:
+            """Place of each entry's term in the block, -1 for none."""
+            where[self.block_terms[b]] = np.arange(len(self.block_terms[b]), dtype=np.int32)
+            found = where[q.numbers]
+            where[self.block_terms[b]] = -1
+            return found
+
+        def compare(b: int, rows: np.ndarray) -> None:
+            found = places(b)
+            local = np.full(n, -1, np.int64)
+            local[rows] = np.arange(len(rows))
+            ours = np.flatnonzero((found >= 0) & (local[q.rows] >= 0))
+            own = np.zeros((len(rows), len(self.block_terms[b])), np.float32)
+            own[local[q.rows[ours]], found[ours]] = q.values[ours]
+            scores = own @ self.dense(b)
+            numbers = np.broadcast_to(np.arange(b * PER_BLOCK, b * PER_BLOCK + scores.shape[1]), scores.shape)
+            if skip is not None:
+                scores = np.where(numbers == skip[rows, None], -1, scores)
+            all_scores, all_numbers = np.concatenate([best[rows], scores], 1), np.concatenate([who[rows], numbers], 1)
+            top = np.lexsort((all_numbers, -all_scores), axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_numbers, top, 1)
+
+        for b, most in enumerate(self.block_most):
+            bounds[:, b] = np.bincount(q.rows, q.values * np.append(most, 0)[places(b)], n)
+        bounds += _SLACK
+        first = bounds.argmax(1)
+        for b in np.flatnonzero(np.bincount(first)):
+            compare(b, np.flatnonzero(first == b))
+        for b in np.argsort(-bounds.sum(0), kind="stable"):
+            rows = np.flatnonzero((first != b) & (bounds[:, b] >= best[:, -1]))
+            if len(rows):
+                compare(b, rows)
         return np.maximum(best, 0), who
 
     def votes(self, cosines: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -141,28 +180,45 @@ def _logistic_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def _chi_squared(df: np.ndarray, toxic: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Chi-squared of the terms against the labels, from the examples and the toxic examples that hold them; 0 where either has no two sides."""
+    b, c = df - toxic, n1 - toxic
+    d = n - n1 - b
+    below = df * (c + d) * float(n1) * float(n - n1)
+    return np.where(below > 0, n * (toxic * d - b * c) ** 2 / np.where(below > 0, below, 1), 0.0)
+
+
 def build(vocabulary: np.ndarray, frequencies: np.ndarray, n_docs: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
     """The index of examples (id, label, term numbers, frequencies), neighbours in weight side by side so that bounds are tight."""
     idf = np.log((1 + n_docs) / (1 + frequencies)) + 1
     prior = (sum(e[1] for e in examples) + 0.5) / (len(examples) + 1)
-    index = Index(vocabulary, idf, np.zeros((len(vocabulary), 0), np.float32), [], [], np.zeros(0), np.zeros(0, np.int64), prior)
+    index = Index(vocabulary, idf, [], [], [], np.zeros(0), np.zeros(0, np.int64), prior)
     if not examples:
         return index
+    labels = np.array([e[1] for e in examples])
+    sizes = np.array([len(e[2]) for e in examples])
+    numbers = np.concatenate([e[2] for e in examples]).astype(np.int64)
+    df, toxic = (np.bincount(x, minlength=len(vocabulary)).astype(np.float64) for x in (numbers, numbers[np.repeat(labels, sizes) == 1]))
+    index.idf = idf = idf * (1 + _chi_squared(df, toxic, len(examples), int(labels.sum())) / CHI2)
     heaviest = [int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]) if len(e[2]) else -1 for e in examples]
     examples = [examples[i] for i in sorted(range(len(examples)), key=lambda i: (examples[i][1], heaviest[i], i))]
     index.labels, index.ids = np.array([e[1] for e in examples]), np.array([e[0] for e in examples], np.int64)
     rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
     w = index.weights(rows, np.concatenate([e[2] for e in examples]).astype(np.int64), np.concatenate([e[3] for e in examples]), len(examples))
-    columns = []
     for i in range(0, len(examples), PER_BLOCK):
-        part = w[i : i + PER_BLOCK]
-        columns.append(part.max(0))
-        used = np.flatnonzero(columns[-1] > 0)
+        low, high = np.searchsorted(w.rows, [i, i + PER_BLOCK])
+        used, place = np.unique(w.numbers[low:high], return_inverse=True)
+        most = np.zeros(len(used), np.float32)
+        np.maximum.at(most, place, w.values[low:high])
         index.block_terms.append(used)
-        index.block_weights.append(np.ascontiguousarray(part[:, used].T))
-    index.bounds = np.column_stack(columns)
-    left_out = index.votes(*index.nearest(w, NEIGHBOURS, np.arange(len(examples))))
-    index.slope, index.shift = _logistic_fit(_logit(left_out), index.labels)
+        index.block_most.append(most)
+        index.block_postings.append((place.astype(np.int32), (w.rows[low:high] - i).astype(np.uint8 if PER_BLOCK <= 256 else np.int32), w.values[low:high]))
+    left_out = []
+    for i in range(0, len(examples), ROWS):
+        low, high = np.searchsorted(w.rows, [i, i + ROWS])
+        n = min(ROWS, len(examples) - i)
+        left_out.append(index.votes(*index.nearest(Query(w.rows[low:high] - i, w.numbers[low:high], w.values[low:high], n), NEIGHBOURS, np.arange(i, i + n))))
+    index.slope, index.shift = _logistic_fit(_logit(np.concatenate(left_out)), index.labels)
     return index
 
 
@@ -170,10 +226,11 @@ def build(vocabulary: np.ndarray, frequencies: np.ndarray, n_docs: int, examples
 # Fitting and scoring over tables
 
 
-def fit(df: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int = 5, examples: int = EXAMPLES, n_terms: int = TERMS) -> Index:
+def fit(df: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int = 5, examples: int = EXAMPLES, n_terms: int | None = None) -> Index:
     """An index from rows of ``labels`` (doc_id, toxic), but for those whose crc32 leaves ``held_out`` modulo ``modulus``.
 
-    Null labels and keys are passed over; the largest label counts where a key has several. Bounded: ``examples`` rows and ``n_terms`` terms.
+    Null labels and keys are passed over; the largest label counts where a key has several. Bounded: ``examples`` rows.
+    All their terms are indexed, or with ``n_terms`` so many of the largest chi-squared.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if held_out is not None:
@@ -184,43 +241,29 @@ def fit(df: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int
     # the chosen keys (12 bytes each, ``examples`` of them) go to the documents, not the documents to them
     sample = staged(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
-    def expand(batches):
-        for whole in batches:
-            for batch in T.portions(whole, "text"):
-                hashes, rows = terms(*T.column(batch.column("text")))
-                order = np.lexsort((hashes, rows))
-                hashes, rows = hashes[order], rows[order]
-                edge = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])]) if len(rows) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[edge].view(np.int64)), batch.column("toxic").take(pa.array(rows[edge]))], names=["term", "toxic"])
-
-    size = sample.agg(F.count("*"), F.sum("toxic")).first()
-    n, n1 = size[0], size[1] or 0
-    a, df_ = F.col("a"), F.col("df")
-    b, c = df_ - a, F.lit(n1) - a
-    d = F.lit(n - n1) - b
-    chi = F.lit(float(n)) * F.pow(a * d - b * c, 2) / (df_ * (c + d) * F.lit(float(n1)) * F.lit(float(n - n1)))
-    vocabulary = np.zeros(0, np.uint64)
-    if 0 < n1 < n:
-        counted = sample.select("text", "toxic").mapInArrow(expand, "term long, toxic int").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("a"))
-        best = counted.where(F.col("df") < n).withColumn("chi", chi).where(F.col("chi") > CHI2).orderBy(F.desc("chi"), "term").limit(n_terms)
-        vocabulary = np.sort(np.array([r.term for r in best.select("term").collect()], np.int64).view(np.uint64))
-
     def of_sample(batches):
         for whole in batches:
             for batch in T.portions(whole, "text"):
-                rows, numbers, tf = known_terms(vocabulary, *T.column(batch.column("text")))
-                cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-                both = [[x[cuts[i] : cuts[i + 1]].tolist() for i in range(batch.num_rows)] for x in (numbers, tf)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *[pa.array(x, pa.list_(pa.int64())) for x in both]], names=["doc_id", "toxic", "numbers", "tf"])
-
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(of_sample, "doc_id long, toxic int, numbers array<long>, tf array<long>").collect()
-    found = [(r.doc_id, int(r.toxic > 0), np.array(r.numbers, np.int64), np.array(r.tf, np.int64)) for r in sorted(rows, key=lambda r: r.doc_id)]
+                hashes, rows = terms(*T.column(batch.column("text")))
+                found = [_counts(hashes[rows == i]) for i in range(batch.num_rows)]
+                both = [pa.array([f[k].astype(kind).tobytes() for f in found], pa.binary()) for k, kind in enumerate((np.uint64, np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *both], names=["doc_id", "toxic", "terms", "tf"])
+
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(of_sample, "doc_id long, toxic int, terms binary, tf binary").collect()
+    found = [(r.doc_id, int(r.toxic > 0), np.frombuffer(r.terms, np.uint64), np.frombuffer(r.tf, np.int32)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    vocabulary = np.unique(np.concatenate([f[2] for f in found])) if found else np.zeros(0, np.uint64)
+    if n_terms is not None and len(vocabulary) > n_terms:
+        df_, toxic = (np.bincount(np.searchsorted(vocabulary, np.concatenate([f[2] for f in found if f[1] >= least] or [vocabulary[:0]])), minlength=len(vocabulary)) for least in (0, 1))
+        chi = _chi_squared(df_.astype(np.float64), toxic.astype(np.float64), len(found), sum(f[1] for f in found))
+        vocabulary = np.sort(vocabulary[np.argsort(-chi, kind="stable")[:n_terms]])
+        found = [(i, y, own[kept], tf[kept]) for i, y, own, tf in found for kept in [np.isin(own, vocabulary)]]
+    found = [(i, y, np.searchsorted(vocabulary, own), tf) for i, y, own, tf in found]
     n_docs, frequencies = _document_frequencies(texts, vocabulary)
     return build(vocabulary, frequencies, n_docs, found)
 
 
 def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each term; a task sends one count per term."""
+    """Number of documents, and of those that hold each term; a task sends one count per term it has met."""
 
     def count(batches):
         own, n = np.zeros(len(vocabulary), np.int64), 0
@@ -229,16 +272,20 @@ def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int
                 _, numbers, _ = known_terms(vocabulary, *T.column(batch.column("text")))
                 own += np.bincount(numbers, minlength=len(vocabulary))
                 n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(vocabulary)), -1)), pa.array(np.append(own, n))], names=["number", "df"])
+        seen = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(own[seen], n))], names=["number", "df"])
 
-    counts = {r.number: r.df for r in texts.select("text").mapInArrow(count, "number long, df long").groupBy("number").agg(F.sum("df").alias("df")).collect()}
-    return int(counts.get(-1, 0)), np.array([counts.get(i, 0) for i in range(len(vocabulary))], np.float64)
+    counted = texts.select("text").mapInArrow(count, "number long, df long").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
+    numbers, df_ = counted["number"].to_numpy(), counted["df"].to_numpy()
+    frequencies = np.zeros(len(vocabulary))
+    frequencies[numbers[numbers >= 0]] = df_[numbers >= 0]
+    return int(df_[numbers < 0].sum()), frequencies
 
 
 def scores(df: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """Per row: doc_id, score, and the ``evidence`` nearest examples as ``id:cosine:label``, comma-joined.
 
-    Null and empty texts, and texts like no example, get the score of the prior, ``UNKNOWN`` at most, and no evidence. Equal texts score alike.
+    Null and empty texts, and texts that share no term with any example, get the score of the prior, ``UNKNOWN`` at most, and no evidence. Equal texts score alike.
     """
     held = df.sparkSession.sparkContext.broadcast(index)
 

@@ -76,3 +76,14 @@ def test_sample_is_bounded(spark):
     rows, labels = labelled(random.Random(2), 200)
     index = M.fit(tables.documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), examples=50, n_terms=30)
     assert len(index.labels) == 50 and len(index.vocabulary) <= 30
+
+
+def test_terms_that_tell_no_labels_apart_are_indexed(spark):
+    rows, labels = labelled(random.Random(3), 300)
+    rare = "quagga zeppelin fjord"  # each in one labelled row only: no chi-squared to speak of, the only terms of their text
+    own = next(i for i in range(1000, 1100) if not held_out(i))
+    df = tables.documents(spark, [*rows, (own, rare), (5000, rare), (5001, "unheard")])
+    index = M.fit(df, spark.createDataFrame([*labels, (own, 1)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in M.scores(df, index).collect()}
+    assert got[5000].evidence.startswith(f"{own}:1.0000:1") and got[5000].score == got[own].score > M.UNKNOWN
+    assert got[5001].evidence == "" and got[5001].score <= M.UNKNOWN
