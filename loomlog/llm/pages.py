@@ -41,6 +41,8 @@ MARKS = {
     "notice", "outbrain", "pagination", "popup", "privacy", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "widget", "complementary", "contentinfo",
 }
+#: An article's headings and paragraphs are its own, whatever they are called.
+TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: Marks that an article's own parts carry as well; they count outside articles only.
 OUTER_MARKS = {"header", "top", "bottom", "left", "right", "site"}
 STOP_WORDS = {
@@ -60,7 +62,7 @@ _MARKUP = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -158,11 +160,15 @@ class _Reader:
 def _marked(rest: str, in_article: bool, name: str) -> bool:
     if name in ("body", "html"):
         return False
+    own: dict[str, str] = {}
     for attribute, value in _ATTRIBUTE.findall(rest):
-        attribute, value = attribute.lower(), value.strip("\"'").lower()
-        if attribute == "hidden" or (attribute == "aria-hidden" and value == "true"):
-            return True
-        found = set(re.split(r"[^a-z]+", value))
+        own.setdefault(attribute.lower(), value.strip("\"'").lower())
+    if "hidden" in own or own.get("aria-hidden") == "true":
+        return True
+    if in_article and name in TEXT:
+        return False
+    for attribute in ("class", "role") if in_article else ("class", "id", "role"):
+        found = set(re.split(r"[^a-z]+", own.get(attribute, "")))
         if found & MARKS or (found & OUTER_MARKS and not in_article and "content" not in found):
             return True
     return False

@@ -52,3 +52,18 @@ def test_rows(spark):
     got = M.extract(df).collect()
     assert sorted(r.n_chars for r in got) == sorted([0, len(CASES[5][1]), len(CASES[5][1])]) and {r.text for r in got} == {"", CASES[5][1]}
     assert M.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'title="the hidden truth"', 'data-hidden="no"', 'data-id="sidebar"', "data-class=comments", 'data-x="a" style="overflow: hidden"'])
+def test_only_whole_attribute_names_mark_an_element(attributes):
+    assert M.main_text(f"<div {attributes}><article><p>{STORY}</p></article></div>") == STORY
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'hidden=""', 'aria-hidden="true"', 'style="x" hidden', "id=sidebar", 'CLASS = "nav"'])
+def test_marked_elements_go(attributes):
+    assert M.main_text(f"<div {attributes}><p>{MORE}</p></div><article><p>{STORY}</p></article>") == STORY
+
+
+def test_ids_inside_an_article_are_its_own():
+    page = f'<article><h2 id="related-work" class="share">Related work</h2><p>{STORY}</p><section id="privacy"><p id="search-results" class="notice">{MORE}</p></section><div class="comments">{MORE}</div></article>'
+    assert M.main_text(page) == f"Related work\n{STORY}\n{MORE}"
