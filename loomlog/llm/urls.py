@@ -1,6 +1,6 @@
 """URL filters: rules first, then naive Bayes over segmented words (operator 7).
 
-Host labels are split into words by the Viterbi path under unigram probabilities of the words of the pages themselves. Only the
+Host labels are split into words by the Viterbi path under unigram probabilities of the words of the pages themselves and of the seeds. Only the
 parts of labels are looked up, joined with the word counts in Spark, so neither the dictionary nor the labels meet in one place. Multinomial naive Bayes
 scores words of host and path. It is trained on all URLs: an URL whose host holds one of ``SEEDS`` is an example to block, any other one to allow; the
 words that stand beside seeds carry the verdict over to hosts without one.
@@ -28,6 +28,8 @@ SEEDS = [
     "payday", "phishing", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "tracker", "viagra", "warez", "xxx",
 ]
 LONGEST = 20
+#: A seed counts as one word in so many at least, so that names are split the same whether pages use it or not.
+SEED_RARITY = 10_000
 SMOOTHING = 1.0
 
 
@@ -78,6 +80,13 @@ def word_counts(pages: DataFrame, column: str = "html") -> DataFrame:
     return few.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def with_seeds(counts: DataFrame, seeds: list[str]) -> DataFrame:
+    """The counts with every seed among them, as one in ``SEED_RARITY`` words and once at least."""
+    least = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // SEED_RARITY)
+    own = counts.sparkSession.createDataFrame([(s, least) for s in seeds], "word string, n long")
+    return counts.unionByName(own).groupBy("word").agg(F.max("n").alias("n"))
+
+
 def _sent(own: Counter):
     words = [w.decode() for w in own]
     yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
@@ -140,7 +149,7 @@ def judged(df: DataFrame, rules: list[tuple[str, str]] = RULES, seeds: list[str]
     keys = staged(own.groupBy("host", "path").agg(F.count("*").alias("n")))
     hosts = keys.groupBy("host").agg(F.sum("n").alias("n"))
     label_rows = hosts.select("host", F.explode(_names(F.col("host"))).alias("label"))
-    split = staged(segmented(label_rows.select("label").distinct(), staged(word_counts(df))))
+    split = staged(segmented(label_rows.select("label").distinct(), staged(with_seeds(staged(word_counts(df)), seeds))))
     # words of each host, back from its labels; a host has a bounded number of them
     of_host = label_rows.join(split, "label").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words"))
     of_host = staged(hosts.select("host").join(of_host, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))

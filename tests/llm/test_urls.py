@@ -59,3 +59,14 @@ def test_viterbi_takes_the_likeliest_split():
 def test_word_counts(spark):
     df = pages(spark, ["x"]).selectExpr("page_id", "url", "'The the CAT <b>cat</b> c4t averyveryverylongwordindeed' AS html", "host")
     assert {r.word: r.n for r in M.word_counts(df).collect()} == {"the": 2, "cat": 2, "b": 2}
+
+
+def test_joined_names_with_seeds_the_pages_do_not_hold(spark):
+    urls = ["http://onlinepoker.example.com/", "http://zorblycasino.example.com/", "http://winporn.example.com/", "http://garden.example.com/", "http://roads.example.com/"]
+    df = spark.createDataFrame([(i, u, "<p>" + "online win garden letter window " * 20_000 + "</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    counts = M.with_seeds(M.word_counts(df), M.SEEDS)
+    labels = spark.createDataFrame([(u[7:].split(".")[0],) for u in urls], "label string")
+    got = {r.label: r.words for r in M.segmented(labels, counts).collect()}
+    assert got == {"onlinepoker": ["online", "poker"], "zorblycasino": ["zorbly", "casino"], "winporn": ["win", "porn"], "garden": ["garden"], "roads": ["roads"]}
+    odds = {r.host.split(".")[0]: r.log_odds for r in M.judged(df).collect()}
+    assert min(odds["onlinepoker"], odds["zorblycasino"], odds["winporn"]) > max(odds["garden"], odds["roads"])
