@@ -46,3 +46,20 @@ def test_trailing_in_batches(spark, tmp_path):
     for a, b in (("t_mean", "grf"), ("t_std", "std"), ("t_min", "min"), ("t_max", "max")):
         b = {"t_mean": "gr_tmean_10", "t_std": "gr_tstd_10", "t_min": "gr_tmin_10", "t_max": "gr_tmax_10"}[a]
         np.testing.assert_allclose(got[a].astype(float), want[b].astype(float), atol=1e-9)
+
+
+def test_equal_times_are_kept_and_late_rows_counted(spark, tmp_path):
+    import time
+
+    schema = "well_id string, row_idx bigint, md double, gr double, tvt_input double, s double, m double"
+    path = str(tmp_path / "in")
+    for part in ([(1, 1.0), (0, 1.0), (2, 2.0)], [(3, 2.0), (4, 1.5), (5, 2.0), (6, 3.0)]):
+        spark.createDataFrame([("w", r, x, None, None, 5.0, 0.0) for r, x in part], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    late = [(0, 0), (1, 0), (2, 0), (3, 1), (5, 1), (6, 1)]  # row 4 comes first in its batch
+    runs = sorted((r.row_idx, r.late, r.run_length) for r in st.drain(st.st_gap_runs(stream, "gr")).collect())
+    assert runs == [(i, n, k + 1) for k, (i, n) in enumerate(late)]
+    assert sorted((r.row_idx, r.late) for r in st.drain(st.st_trailing(stream, "gr", 10)).collect()) == late
+    clipped = st.drain(st.st_slope_clip(stream.withColumn("gr", F.lit(5.0)), "gr", "s", "m", 1.0)).collect()
+    assert sorted((r.row_idx, r.late) for r in clipped) == late
