@@ -6,7 +6,7 @@ import importlib
 
 from loomlog.llm.documents import ORACLES, QUERIES
 
-OPERATORS = ["fingerprints", "contamination", "language_model", "near_duplicates", "pages", "urls", "token_files", "personal_data", "toxicity", "bpe", "packing", "search"]
+OPERATORS = ["fingerprints", "contamination", "language_model", "near_duplicates", "pages", "urls", "token_files", "personal_data", "toxicity", "bpe", "packing", "search", "prefix_trie"]
 
 
 def load() -> tuple[dict, dict]:
