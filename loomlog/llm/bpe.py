@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from loomlog.llm import documents as docs
+from loomlog.llm import text as T
 
 PIECE = 1 << 16
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -66,32 +68,45 @@ def decode(ids: np.ndarray, path: str, step: int = PIECE) -> bytes:
 
 
 def encode_column(df: DataFrame, path: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
-    """All columns of ``df`` and the ids of its texts as binary (4 bytes each, little-endian). Null texts give no ids."""
+    """All columns of ``df`` and the ids of its texts as binary (4 bytes each, little-endian), in place of a column of that name. Null texts give no ids."""
     path = path or ranks_path()
+    return _with(df, text, {out: pa.binary()}, lambda values: [[encode(v or "", path).tobytes() for v in values]])
 
-    def run(batches):
-        for batch in batches:
-            values = batch.column(text)
-            ids = [encode(v.as_py() or "", path).tobytes() for v in values]
-            yield batch.append_column(out, pa.array(ids, pa.binary()))
 
-    return df.mapInArrow(run, _with(df, out))
+def decode_column(df: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """All columns of ``df`` and the decoded bytes of its ids, in place of a column of that name. Null ids give no bytes."""
+    path = path or ranks_path()
+    return _with(df, ids, {out: pa.binary()}, lambda values: [[decode(np.frombuffer(v or b"", "<u4"), path) for v in values]])
 
 
-def decode_column(df: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of ``df`` and the decoded bytes of its ids. Null ids give no bytes."""
+def encode_and_verify(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """All columns of ``df`` with n_tokens, ids (binary), ids_sha256 and decoded_sha256 in place of columns of these names. Decoded bytes are hashed where they are made and go nowhere."""
     path = path or ranks_path()
 
-    def run(batches):
-        for batch in batches:
-            raw = [decode(np.frombuffer(v.as_py() or b"", "<u4"), path) for v in batch.column(ids)]
-            yield batch.append_column(out, pa.array(raw, pa.binary()))
+    def run(values: list[str | None]) -> list[list]:
+        rows = []
+        for value in values:
+            ids = encode(value or "", path)
+            raw = ids.tobytes()
+            rows.append((len(ids), raw, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()))
+        return list(zip(*rows, strict=True))
+
+    return _with(df, text, {"n_tokens": pa.int64(), "ids": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, run)
+
 
-    return df.mapInArrow(run, _with(df, out))
+def _with(df: DataFrame, source: str, new: dict[str, pa.DataType], run) -> DataFrame:  # noqa: ANN001
+    """``df`` with columns computed from one of its columns, by portions of 1 MB of it."""
+    kept = [c for c in df.columns if c not in new]
+    schema = StructType([*(df.schema[c] for c in kept), *(StructField(name, from_arrow_type(kind)) for name, kind in new.items())])
 
+    def portions(batches):
+        for whole in batches:
+            for batch in T.portions(whole, source):
+                made = run(batch.column(source).to_pylist()) if batch.num_rows else [[] for _ in new]
+                columns = [batch.column(c) for c in kept] + [pa.array(v, kind) for v, kind in zip(made, new.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-def _with(df: DataFrame, name: str) -> StructType:
-    return StructType([*df.schema.fields, StructField(name, BinaryType())])
+    return df.mapInArrow(portions, schema)
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -102,14 +117,15 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or ranks_path()
 
     def run(batches):
-        for batch in batches:
-            counts, coded, raw = [], [], []
-            for value in batch.column("text"):
-                ids = encode(value.as_py(), path)
-                counts.append(len(ids))
-                coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                raw.append(hashlib.sha256(decode(ids, path)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded), pa.array(raw)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for batch in T.portions(whole, "text"):
+                counts, coded, raw = [], [], []
+                for value in batch.column("text"):
+                    ids = encode(value.as_py(), path)
+                    counts.append(len(ids))
+                    coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    raw.append(hashlib.sha256(decode(ids, path)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.texts(df).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -3,9 +3,10 @@
 Terms are words and their first four and five bytes. All terms of a bounded sample of labelled rows (``EXAMPLES``, those with the smallest hash
 of their key) form the vocabulary; document frequencies of these terms are counted over all documents. A term that tells the labels apart
 (chi-squared) weighs more, none is left out. The examples are indexed term by term in blocks of ``PER_BLOCK``, with the largest
-weight of each term in each block. A text is compared with the block of its highest upper bound first, then with those whose bound reaches its
-k-th best example; what is skipped cannot be among the nearest. The nearest vote with their cosines,
-and a logistic curve, fitted on the examples with each one left out, turns the votes into probabilities.
+weight of each term in each block; like examples share blocks, and postings of the ``COMMON`` most frequent terms are kept with their gaps. A text meets the postings of the block of its highest upper bound first, then of those whose bound
+reaches its k-th best example; what is skipped cannot be among the nearest. The nearest vote with their cosines,
+and a logistic curve, fitted on the examples with each one left out, turns the votes into probabilities; with fewer than
+``LEAST`` examples of either label, or votes that don't rise with it, the votes stand as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ PRIOR_WEIGHT = 0.5
 PER_BLOCK = 64
 UNKNOWN = 0.49  # without any evidence no text is called toxic
 PREFIXES = (4, 5)
-ROWS = 512
+ROWS = 256
+LEAST = 5
+COMMON = 2000
 _SLACK = 1e-4
 
 
@@ -50,14 +53,17 @@ def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge], np.diff(np.append(edge, len(keys)))
 
 
-def known_terms(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term number and frequency of the terms of the (sorted) vocabulary in each text."""
+def known_terms(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term number and frequency of the terms of the (sorted) vocabulary in each text; per text, the sum of (1 + log frequency) squared of its other terms."""
     hashes, rows = terms(data, offsets)
+    n = len(offsets) - 1
     at = np.searchsorted(vocabulary, hashes)
     at[at == len(vocabulary)] = 0
     ours = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
     keys, tf = _counts(rows[ours].astype(np.int64) * max(1, len(vocabulary)) + at[ours])
-    return keys // max(1, len(vocabulary)), keys % max(1, len(vocabulary)), tf
+    others, times = _counts(rows[~ours].astype(np.uint64) << np.uint64(40) | hashes[~ours] >> np.uint64(24))  # 40 bits tell the terms of a text apart
+    rest = np.bincount((others >> np.uint64(40)).astype(np.int64), (1 + np.log(times)) ** 2, n)
+    return keys // max(1, len(vocabulary)), keys % max(1, len(vocabulary)), tf, rest
 
 
 @dataclass
@@ -76,9 +82,16 @@ class Index:
 
     vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray  # with the weight by chi-squared
-    block_terms: list[np.ndarray]
-    block_most: list[np.ndarray]  # the largest weight of each term of the block
-    block_postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # place of the term in the block, example of the block, weight
+    unknown: float  # idf of a term that no example holds: the mean of those that one example holds
+    runs_of: np.ndarray  # where the runs of each term start, and the end; a run is a term's postings in one block
+    run_block: np.ndarray
+    run_most: np.ndarray  # the largest weight of the run
+    run_starts: np.ndarray  # in the postings, and the end
+    example: np.ndarray  # postings, by term and example
+    weight: np.ndarray
+    common: np.ndarray  # row of a common term in ``full``, -1 for others, whose postings are in runs
+    full: np.ndarray  # common terms x blocks x examples of the block
+    full_most: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     prior: float
@@ -86,19 +99,19 @@ class Index:
     shift: float = 0.0
 
     @property
-    def block_weights(self) -> list[np.ndarray]:
-        return [self.dense(b) for b in range(len(self.block_terms))]
-
-    def dense(self, b: int) -> np.ndarray:
-        """Terms of the block x examples of the block."""
-        place, example, weight = self.block_postings[b]
-        out = np.zeros((len(self.block_terms[b]), min(PER_BLOCK, len(self.labels) - b * PER_BLOCK)), np.float32)
-        out[place, example] = weight
+    def whole(self) -> np.ndarray:
+        """Terms x examples, for tests on small tables."""
+        out = np.zeros((len(self.vocabulary), len(self.labels)), np.float32)
+        run = np.repeat(np.arange(len(self.run_block)), np.diff(self.run_starts))
+        out[np.repeat(np.arange(len(self.vocabulary)), np.diff(self.runs_of))[run], self.example] = self.weight
+        out[self.common >= 0] = self.full[self.common[self.common >= 0]].reshape(-1, self.full[0].size if len(self.full) else 0)[:, : len(self.labels)]
         return out
 
-    def weights(self, rows: np.ndarray, numbers: np.ndarray, tf: np.ndarray, n: int) -> Query:
+    def weights(self, rows: np.ndarray, numbers: np.ndarray, tf: np.ndarray, n: int, rest: np.ndarray | None = None) -> Query:
+        """Unit rows; ``rest`` is the share that terms unknown to the index have in each text's norm."""
         values = (1 + np.log(tf)) * self.idf[numbers]
-        norms = np.sqrt(np.bincount(rows, values * values, n))
+        squares = np.bincount(rows, values * values, n)
+        norms = np.sqrt(squares if rest is None else squares + self.unknown**2 * rest)
         return Query(rows, numbers, (values / norms[rows]).astype(np.float32), n)
 
     def nearest(self, q: Query | np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -106,53 +119,58 @@ class Index:
         if isinstance(q, np.ndarray):
             rows, numbers = np.nonzero(q)
             q = Query(rows, numbers, q[rows, numbers], len(q))
-        n, size = q.n, len(self.labels)
+        size = len(self.labels)
         k = min(k, size)
-        best = np.full((n, k), -1.0, np.float32)
-        who = np.full((n, k), size, np.int64)
-        bounds = np.zeros((n, len(self.block_terms)))
-        if not n or not size:
-            return np.maximum(best, 0), who
-        where = np.full(len(self.vocabulary), -1, np.int32)
-
-        def places(b: int) -> np.ndarray:
-            """Place of each entry's term in the block, -1 for none."""
-            where[self.block_terms[b]] = np.arange(len(self.block_terms[b]), dtype=np.int32)
-            found = where[q.numbers]
-            where[self.block_terms[b]] = -1
-            return found
-
-        def compare(b: int, rows: np.ndarray) -> None:
-            found = places(b)
-            local = np.full(n, -1, np.int64)
-            local[rows] = np.arange(len(rows))
-            ours = np.flatnonzero((found >= 0) & (local[q.rows] >= 0))
-            own = np.zeros((len(rows), len(self.block_terms[b])), np.float32)
-            own[local[q.rows[ours]], found[ours]] = q.values[ours]
-            scores = own @ self.dense(b)
-            numbers = np.broadcast_to(np.arange(b * PER_BLOCK, b * PER_BLOCK + scores.shape[1]), scores.shape)
-            if skip is not None:
-                scores = np.where(numbers == skip[rows, None], -1, scores)
-            all_scores, all_numbers = np.concatenate([best[rows], scores], 1), np.concatenate([who[rows], numbers], 1)
-            top = np.lexsort((all_numbers, -all_scores), axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_numbers, top, 1)
-
-        for b, most in enumerate(self.block_most):
-            bounds[:, b] = np.bincount(q.rows, q.values * np.append(most, 0)[places(b)], n)
-        bounds += _SLACK
-        first = bounds.argmax(1)
-        for b in np.flatnonzero(np.bincount(first)):
-            compare(b, np.flatnonzero(first == b))
-        for b in np.argsort(-bounds.sum(0), kind="stable"):
-            rows = np.flatnonzero((first != b) & (bounds[:, b] >= best[:, -1]))
-            if len(rows):
-                compare(b, rows)
-        return np.maximum(best, 0), who
+        best = np.zeros((q.n, k), np.float32)
+        who = np.full((q.n, k), size, np.int64)
+        edges = np.searchsorted(q.rows, np.arange(q.n + 1))
+        for r in range(q.n if size else 0):
+            own = slice(edges[r], edges[r + 1])
+            found = self._cosines(q.numbers[own], q.values[own], k, None if skip is None else int(skip[r]))
+            least = np.partition(found, size - k)[size - k]
+            near = np.flatnonzero(found >= least)
+            near = near[np.lexsort((near, -found[near]))[:k]]
+            best[r], who[r] = np.maximum(found[near], 0), near
+        return best, who
+
+    def _cosines(self, numbers: np.ndarray, values: np.ndarray, k: int, skip: int | None) -> np.ndarray:
+        """Cosine of a text to each example that can be among its ``k`` nearest, 0 for others and -1 for the one to skip."""
+        size, n_blocks = len(self.labels), self.full.shape[1]
+        row = self.common[numbers]
+        often, strength = row[row >= 0], values[row >= 0]
+        numbers, values = numbers[row < 0], values[row < 0]
+        many = self.runs_of[numbers + 1] - self.runs_of[numbers]
+        runs, share = T.ragged(self.runs_of[numbers], many), np.repeat(values, many)
+        blocks = self.run_block[runs]
+        bounds = np.bincount(blocks, share * self.run_most[runs], n_blocks) + strength @ self.full_most[often] + _SLACK
+        out = np.zeros((n_blocks, PER_BLOCK))
+
+        def meet(which: np.ndarray, some: np.ndarray) -> None:
+            starts = self.run_starts[runs[some]]
+            counts = self.run_starts[runs[some] + 1] - starts
+            at = T.ragged(starts, counts)
+            out.reshape(-1)[:] += np.bincount(self.example[at], self.weight[at] * np.repeat(share[some], counts), out.size)
+            if len(often) and len(which):
+                out[which] += (strength @ self.full[often[:, None], which[None, :]].reshape(len(often), -1)).reshape(-1, PER_BLOCK)
+
+        first = int(bounds.argmax())
+        meet(np.array([first]), np.flatnonzero(blocks == first))
+        met = out[first, : size - first * PER_BLOCK]
+        if skip is not None and skip // PER_BLOCK == first:
+            met = np.delete(met, skip - first * PER_BLOCK)
+        need = bounds >= (np.partition(met, len(met) - k)[len(met) - k] if len(met) >= k else 0)
+        need[first] = False
+        meet(np.flatnonzero(need), np.flatnonzero(need[blocks]))
+        out = out.reshape(-1)[:size]
+        if skip is not None:
+            out[skip] = -1
+        return out.astype(np.float32)
 
     def votes(self, cosines: np.ndarray, who: np.ndarray) -> np.ndarray:
         """Share of the toxic among the neighbours, by cosine, drawn to the prior where all are far."""
         found = np.append(self.labels, 0)[who]
-        return ((cosines * found).sum(1) + PRIOR_WEIGHT * self.prior) / (cosines.sum(1) + PRIOR_WEIGHT)
+        weight = PRIOR_WEIGHT * (2 - who.shape[1] / NEIGHBOURS)  # places that no example fills count for the prior
+        return ((cosines * found).sum(1) + weight * self.prior) / (cosines.sum(1) + weight)
 
     def calibrate(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * _logit(votes) + self.shift, -30, 30)))
@@ -164,8 +182,10 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def _logistic_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps, with targets drawn in by the class sizes so that separated classes stay finite."""
+    """Slope and shift by Newton steps, with targets drawn in by the class sizes so that separated classes stay finite. Where there is nothing to fit: as it is."""
     n1, n0 = y.sum(), len(y) - y.sum()
+    if min(n1, n0) < LEAST:
+        return 1.0, 0.0
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     w = np.array([1.0, 0.0])
     design = np.column_stack([x, np.ones(len(x))])
@@ -177,7 +197,7 @@ def _logistic_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return (float(w[0]), float(w[1])) if w[0] > 1e-3 else (1.0, 0.0)
 
 
 def _chi_squared(df: np.ndarray, toxic: np.ndarray, n: int, n1: int) -> np.ndarray:
@@ -191,8 +211,9 @@ def _chi_squared(df: np.ndarray, toxic: np.ndarray, n: int, n1: int) -> np.ndarr
 def build(vocabulary: np.ndarray, frequencies: np.ndarray, n_docs: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
     """The index of examples (id, label, term numbers, frequencies), neighbours in weight side by side so that bounds are tight."""
     idf = np.log((1 + n_docs) / (1 + frequencies)) + 1
-    prior = (sum(e[1] for e in examples) + 0.5) / (len(examples) + 1)
-    index = Index(vocabulary, idf, [], [], [], np.zeros(0), np.zeros(0, np.int64), prior)
+    prior = (sum(e[1] for e in examples) + 0.5) / (len(examples) + 2 * LEAST)  # clean without other evidence
+    none = np.zeros(0, np.int32)
+    index = Index(vocabulary, idf, float(idf.max(initial=1)), np.zeros(len(vocabulary) + 1, np.int64), none, none, np.zeros(1, np.int64), none, none, none, np.zeros((0, 0, PER_BLOCK), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0, np.int64), prior)
     if not examples:
         return index
     labels = np.array([e[1] for e in examples])
@@ -200,19 +221,29 @@ def build(vocabulary: np.ndarray, frequencies: np.ndarray, n_docs: int, examples
     numbers = np.concatenate([e[2] for e in examples]).astype(np.int64)
     df, toxic = (np.bincount(x, minlength=len(vocabulary)).astype(np.float64) for x in (numbers, numbers[np.repeat(labels, sizes) == 1]))
     index.idf = idf = idf * (1 + _chi_squared(df, toxic, len(examples), int(labels.sum())) / CHI2)
-    heaviest = [int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]) if len(e[2]) else -1 for e in examples]
-    examples = [examples[i] for i in sorted(range(len(examples)), key=lambda i: (examples[i][1], heaviest[i], i))]
+    if (df == 1).any():
+        index.unknown = float(idf[df == 1].mean())
+    group = _groups(index.weights(np.repeat(np.arange(len(examples)), sizes), numbers, np.concatenate([e[3] for e in examples]), len(examples)), len(vocabulary))
+    examples = [examples[i] for i in sorted(range(len(examples)), key=lambda i: (group[i], examples[i][1], i))]
     index.labels, index.ids = np.array([e[1] for e in examples]), np.array([e[0] for e in examples], np.int64)
     rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
     w = index.weights(rows, np.concatenate([e[2] for e in examples]).astype(np.int64), np.concatenate([e[3] for e in examples]), len(examples))
-    for i in range(0, len(examples), PER_BLOCK):
-        low, high = np.searchsorted(w.rows, [i, i + PER_BLOCK])
-        used, place = np.unique(w.numbers[low:high], return_inverse=True)
-        most = np.zeros(len(used), np.float32)
-        np.maximum.at(most, place, w.values[low:high])
-        index.block_terms.append(used)
-        index.block_most.append(most)
-        index.block_postings.append((place.astype(np.int32), (w.rows[low:high] - i).astype(np.uint8 if PER_BLOCK <= 256 else np.int32), w.values[low:high]))
+    n_blocks = -(-len(examples) // PER_BLOCK)
+    frequent = np.sort(np.lexsort((np.arange(len(df)), -df))[:COMMON])
+    index.common = np.full(len(vocabulary), -1, np.int32)
+    index.common[frequent] = np.arange(len(frequent))
+    index.full = np.zeros((len(frequent), n_blocks, PER_BLOCK), np.float32)
+    row = index.common[w.numbers]
+    index.full.reshape(len(frequent), -1)[row[row >= 0], w.rows[row >= 0]] = w.values[row >= 0]
+    index.full_most = index.full.max(2) if len(frequent) else np.zeros((0, n_blocks), np.float32)
+    by_term = np.lexsort((w.rows, w.numbers))
+    by_term = by_term[row[by_term] < 0]
+    number, index.example, index.weight = w.numbers[by_term], w.rows[by_term].astype(np.int32), w.values[by_term]
+    block = index.example // PER_BLOCK
+    fresh = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (block[1:] != block[:-1]))) if len(number) else none
+    index.run_block, index.run_starts = block[fresh].astype(np.int32), np.append(fresh, len(number)).astype(np.int64)
+    index.run_most = np.maximum.reduceat(index.weight, fresh) if len(fresh) else index.weight
+    index.runs_of = np.searchsorted(number[fresh], np.arange(len(vocabulary) + 1))
     left_out = []
     for i in range(0, len(examples), ROWS):
         low, high = np.searchsorted(w.rows, [i, i + ROWS])
@@ -222,6 +253,21 @@ def build(vocabulary: np.ndarray, frequencies: np.ndarray, n_docs: int, examples
     return index
 
 
+def _groups(w: Query, n_terms: int, rounds: int = 4) -> np.ndarray:
+    """A group of like examples for each, half as many groups as blocks, by spherical k-means. It decides who shares a block, not what scores are."""
+    k = max(1, w.n // PER_BLOCK // 2)
+    group = np.arange(w.n) * k // max(1, w.n)
+    for _ in range(rounds if k > 1 else 0):
+        likeness = np.empty((k, w.n))
+        for g in range(k):
+            own = group[w.rows] == g
+            centre = np.bincount(w.numbers[own], w.values[own], n_terms)
+            centre /= max(np.sqrt(centre @ centre), 1e-9)
+            likeness[g] = np.bincount(w.rows, w.values * centre[w.numbers], w.n)
+        group = likeness.argmax(0)
+    return group
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Fitting and scoring over tables
 
@@ -269,7 +315,7 @@ def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int
         own, n = np.zeros(len(vocabulary), np.int64), 0
         for whole in batches:
             for batch in T.portions(whole, "text"):
-                _, numbers, _ = known_terms(vocabulary, *T.column(batch.column("text")))
+                _, numbers, _, _ = known_terms(vocabulary, *T.column(batch.column("text")))
                 own += np.bincount(numbers, minlength=len(vocabulary))
                 n += batch.num_rows
         seen = np.flatnonzero(own)
@@ -302,7 +348,8 @@ def scores(df: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
 
 def judge(index: Index, data: np.ndarray, offsets: np.ndarray, evidence: int = 0) -> tuple[np.ndarray, list[str]]:
     n = len(offsets) - 1
-    q = index.weights(*known_terms(index.vocabulary, data, offsets), n)
+    rows, numbers, tf, rest = known_terms(index.vocabulary, data, offsets)
+    q = index.weights(rows, numbers, tf, n, rest)
     cosines, who = index.nearest(q, NEIGHBOURS)
     shown = [",".join(f"{index.ids[w]}:{c:.4f}:{index.labels[w]}" for c, w in zip(cosines[i, :evidence], who[i, :evidence], strict=True) if c > 0) for i in range(n)]
     score = index.calibrate(index.votes(cosines, who)).astype(np.float64)

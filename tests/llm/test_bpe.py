@@ -32,6 +32,11 @@ def test_rows(spark):
     want = [(repr(i), len(own.encode_ordinary(x or "")), hashlib.sha256(np.array(own.encode_ordinary(x or ""), "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()) for i, x in rows]
     assert sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in M.digests(df).collect()) == sorted(want)
     assert M.digests(tables.documents(spark, [])).count() == 0
-    both = M.decode_column(M.encode_column(df.drop("ids")))
+    both = M.decode_column(M.encode_column(df))  # its own column ``ids`` gives way
     assert both.columns == [*df.drop("ids").columns, "ids", "decoded"]
     assert all(r.decoded.decode() == (r.text or "") for r in both.collect())
+    coded = M.encode_and_verify(df.withColumn("n_tokens", df.text))
+    assert coded.columns == [*df.drop("ids").columns, "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in coded.collect()) == sorted(want)
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and r["key"] == "clash" for r in coded.collect())
+    assert M.encode_and_verify(tables.documents(spark, [])).count() == 0

@@ -11,6 +11,7 @@ from loomlog.llm import toxicity as M
 @pytest.mark.parametrize("n", [1, 10, 300])
 def test_nearest_equals_all_cosines(n, monkeypatch):
     monkeypatch.setattr(M, "PER_BLOCK", 8)
+    monkeypatch.setattr(M, "COMMON", 12)
     rng = np.random.default_rng(n)
     examples = []
     for i in range(n):
@@ -19,13 +20,22 @@ def test_nearest_equals_all_cosines(n, monkeypatch):
     index = M.build(np.arange(50, dtype=np.uint64), rng.integers(1, 100, 50).astype(float), 500, examples)
     q = np.where(rng.random((40, 50)) < 0.15, rng.random((40, 50)), 0).astype(np.float32)
     q /= np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-9)
-    whole = np.zeros((50, n), np.float32)
-    for b, (terms, weights) in enumerate(zip(index.block_terms, index.block_weights)):
-        whole[terms, b * 8 : b * 8 + weights.shape[1]] = weights
+    whole = index.whole
+    order = {key: (numbers, tf) for key, _, numbers, tf in examples}
+    for place, key in enumerate(index.ids):  # the index holds each example's own weights
+        numbers, tf = order[key]
+        want = np.zeros(50)
+        want[numbers] = (1 + np.log(tf)) * index.idf[numbers]
+        assert np.allclose(whole[:, place], want / max(np.sqrt(want @ want), 1e-9), atol=1e-6)
     cosines, who = index.nearest(q, 7)
     want = -np.sort(-(q @ whole), axis=1)[:, : min(7, n)]
     assert np.allclose(cosines, want, atol=1e-5)
     assert np.allclose(np.take_along_axis(q @ whole, who, 1), want, atol=1e-5)
+    skipped = np.arange(40) % n
+    left = (q @ whole)
+    left[np.arange(40), skipped] = -1
+    cosines, who = index.nearest(q, 7, skipped)
+    assert np.allclose(cosines, np.maximum(-np.sort(-left, axis=1)[:, : min(7, n)], 0), atol=1e-5) and (n < 8 or (who != skipped[:, None]).all())
 
 
 def held_out(i):
