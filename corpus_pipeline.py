@@ -6,7 +6,9 @@ decontamination    drops documents in which a window of a benchmark item occurs
 personal data      replaces each confirmed match by its kind in brackets; n_chars follows the new text
 byte-level BPE     gives the ids of each text and the digest of the bytes that decoding gives
 
-All stages but the last return the columns of ``documents``. Extra columns of the input come along.
+All stages but the last return the columns of ``documents``. Extra columns of the input come along, also such as share a name with
+something that a stage computes. A null text counts as an empty one; rows without a doc_id and rows with repeated ids are judged
+each by its own text. Without documents every stage gives no rows; without labels or items nothing is dropped for them.
 """
 
 from __future__ import annotations
@@ -41,11 +43,8 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, the ids as binary (4 bytes each, little-endian) and SHA-256 of ids and of decoded bytes."""
-    coded = bpe.decode_column(bpe.encode_column(docs.select("doc_id", "lang", "source", "text")))
-    return coded.select(
-        "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = bpe.encode_and_verify(docs.select("doc_id", "lang", "source", "text"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
