@@ -144,7 +144,6 @@ query("eval_dense_surface_priors", lambda s, d: wf.eval_surface_priors(spatial_l
 query("cv_tail", lambda s, d: wf.cv_tail(seq_log(s, d), ref_curve(s, d)))
 query("selector_replay", lambda s, d: wf.selector_replay(seq_log(s, d), tracked(s, d), 27, (14.0, 17.0)))
 query("final_blend_replay", lambda s, d: wf.final_blend_replay(seq_log(s, d), ref_curve(s, d), tracked(s, d)))
-query("blend_search", lambda s, d: wf.blend_search(staged(pred_vectors(s, d).withColumn("fold", (F.col("grp") % 5).cast("int"))), "truth", "a", "b", "grp", ["z"]))
 query("tracker_residual_model", lambda s, d: wf.tracker_residual_model(seq_log(s, d), ref_curve(s, d), tracked(s, d)))
 query("two_engine_blend", lambda s, d: wf.two_engine_blend(seq_log(s, d), ref_curve(s, d), tracked(s, d), copies(s, d), staged(candidate_signatures(seq_log(s, d), copies(s, d), 0.4)), least=20))
 query("data_audit", lambda s, d: wf.data_audit(seq_log(s, d), seq_log(s, d).where("y % 3 = 0"), ref_curve(s, d), ["md", "z", "gr"])[1],

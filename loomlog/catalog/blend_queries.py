@@ -76,6 +76,83 @@ query("simplex_blend", lambda s, d: op.simplex_blend(pv(s, d), "truth", ["a", "b
       FROM pred_vectors, (SELECT unnest(range(0, 21)) AS i), (SELECT unnest(range(0, 21)) AS j) WHERE i + j <= 20 GROUP BY i, j""", ctes=PRED_CTE, floats="w1 w2 w3 rmse", digits=3)
 
 
+GATES = ["signed_gap", "abs_gap", "z"]
+
+
+def gates(s, d):
+    """Gate features; z is missing in every fourth group and infinite in every seventh."""
+    df = folded(s, d).withColumn("z", F.when(F.col("grp") % 7 == 3, F.lit(float("inf"))).when(F.col("grp") % 4 != 0, F.col("z")))
+    return op.gate_features(df, "a", "b").withColumns({"half": F.col("a") / 2, "least": F.least("a", "c")})
+
+
+def _ridge3_sql(name, target, alpha):
+    """Median fill, scaling and ridge over three features by Cramer's rule, one row of ``fits`` per held-out fold."""
+    xs = ("signed_gap", "abs_gap", "zf")
+    cov = {(i, j): f"(n * c{min(i, j)}{max(i, j)} / (s{i} * s{j}){f' + {alpha}' if i == j else ''})" for i in range(3) for j in range(3)}
+    rhs = [f"(n * v{i} / s{i})" for i in range(3)]
+
+    def det(m):
+        return f"({m[0, 0]} * ({m[1, 1]} * {m[2, 2]} - {m[1, 2]} * {m[2, 1]}) - {m[0, 1]} * ({m[1, 0]} * {m[2, 2]} - {m[1, 2]} * {m[2, 0]}) + {m[0, 2]} * ({m[1, 0]} * {m[2, 1]} - {m[1, 1]} * {m[2, 0]}))"
+
+    w = [f"{det({k: (rhs[k[0]] if k[1] == i else v) for k, v in cov.items()})} / {det(cov)} AS w{i}" for i in range(3)]
+    sums = ", ".join([f"covar_pop({xs[i]}, {xs[j]}) AS c{i}{j}" for i in range(3) for j in range(i, 3)] + [f"covar_pop({x}, {target}) AS v{i}, avg({x}) AS m{i}, stddev_pop({x}) AS s{i}" for i, x in enumerate(xs)])
+    fix = " + ".join(f"w{i} * ({x} - m{i}) / s{i}" for i, x in enumerate(xs))
+    return f"""SELECT '{name}' AS model, unnest([h, -1]) AS fold, pow({target} - mt - ({fix}), 2) AS e FROM wide JOIN (SELECT h, mt, m0, m1, m2, s0, s1, s2, {', '.join(w)} FROM (
+      SELECT h, CAST(count(*) AS DOUBLE) AS n, avg({target}) AS mt, {sums} FROM wide WHERE f <> h GROUP BY h)) USING (h) WHERE f = h"""
+
+
+_GATES = PRED_CTE + f""",
+base AS (SELECT avg(w) AS bw FROM (SELECT h, {LSW} AS w FROM pred_vectors, (SELECT unnest(range(0, 5)) AS h) WHERE grp % 5 <> h GROUP BY 1)),
+gaps AS MATERIALIZED (SELECT grp % 5 AS f, truth, truth - bw * a - (1 - bw) * b AS miss, a - b AS signed_gap, abs(a - b) AS abs_gap, CASE WHEN grp % 7 <> 3 AND grp % 4 <> 0 THEN z END AS zn FROM pred_vectors, base),
+held AS (SELECT *, h FROM gaps, (SELECT unnest(range(0, 5)) AS h)),
+wide AS MATERIALIZED (SELECT held.*, coalesce(zn, zm) AS zf FROM held JOIN (SELECT h, quantile_cont(zn, 0.5) AS zm FROM held WHERE f <> h GROUP BY 1) USING (h))"""
+query("blend_residual_model", lambda s, d: op.residual_model_report(gates(s, d), "truth", "a", "b", GATES),
+      f"""SELECT model, fold, count(*) AS rows, sqrt(avg(e)) AS rmse FROM ({_ridge3_sql('ridge_residual', 'miss', 80.0)} UNION ALL {_ridge3_sql('ridge_direct', 'truth', 40.0)}) GROUP BY 1, 2""",
+      ctes=_GATES, floats="rmse", digits=3)
+
+
+def _by_rows(kind, features, **trees):
+    return lambda s, d: op.residual_model(gates(s, d), "truth", "a", "b", features, kind=kind, **trees).groupBy("fold").agg(
+        F.count("*").alias("rows"), F.sqrt(F.avg((F.col("truth") - F.col("pred")) ** 2)).alias("rmse"))
+
+
+query("blend_residual_rows", _by_rows("ridge_residual", GATES),
+      f"SELECT fold, count(*) AS rows, sqrt(avg(e)) AS rmse FROM ({_ridge3_sql('ridge_residual', 'miss', 80.0)}) WHERE fold >= 0 GROUP BY 1", ctes=_GATES, floats="rmse", digits=3)
+query("blend_residual_trees", _by_rows("trees_residual", ["a", "b", "c", "half", "least", *GATES], trees=10, depth=3))
+
+
+def _search_sql(feature, bins, least, by_key):
+    """Error of the weights by quantile bin of a feature, or of its median over a key."""
+    x = f"k_{feature}" if by_key else feature
+    qs = ", ".join(f"quantile_cont({x}, {i / bins!r})" for i in range(1, bins))
+    train = f"SELECT DISTINCT h, f, grp, {x} FROM wide" if by_key else "wide"
+    rows = f"(SELECT wide.*, len(list_filter(cuts, lambda q: q <= {x})) AS bin FROM wide JOIN (SELECT h, list_distinct([{qs}]) AS cuts FROM ({train}) WHERE f <> h GROUP BY 1) USING (h))"
+    return f"""SELECT '{'key' if by_key else 'row'}_bins_{feature}_q{bins}' AS formula, {sse('w')} AS rmse FROM (
+      SELECT t.*, CASE WHEN pb.k >= {least} THEN pb.w ELSE g.w END AS w FROM {rows} t LEFT JOIN (SELECT h, bin, count(*) AS k, {LSW} AS w FROM {rows} WHERE f <> h GROUP BY 1, 2) pb USING (h, bin)
+      JOIN (SELECT h, {LSW} AS w FROM wide WHERE f <> h GROUP BY 1) g USING (h) WHERE f = h)"""
+
+
+_SEARCH = PRED_CTE + f""",
+base AS (SELECT avg(w) AS bw FROM (SELECT h, {LSW} AS w FROM pred_vectors, (SELECT unnest(range(0, 5)) AS h) WHERE grp % 5 <> h GROUP BY 1)),
+gaps AS (SELECT *, grp % 5 AS f, truth - bw * a - (1 - bw) * b AS miss, a - b AS signed_gap, abs(a - b) AS abs_gap, z AS zf FROM pred_vectors, base),
+medians AS (SELECT grp, quantile_cont(signed_gap, 0.5) AS k_signed_gap, quantile_cont(abs_gap, 0.5) AS k_abs_gap, quantile_cont(z, 0.5) AS k_z FROM gaps GROUP BY 1),
+wide AS MATERIALIZED (SELECT gaps.*, k_signed_gap, k_abs_gap, k_z, h FROM gaps JOIN medians USING (grp), (SELECT unnest(range(0, 5)) AS h))"""
+_found = [_search_sql(f, n, least, by_key) for f in GATES for n, least, by_key in ((3, 100, True), (6, 500, False))]
+_found += [f"SELECT model AS formula, sqrt(avg(e)) AS rmse FROM ({_ridge3_sql(m, t, al)}) WHERE fold = -1 GROUP BY 1" for m, t, al in (("ridge_residual", "miss", 80.0), ("ridge_direct", "truth", 40.0))]
+_found.append(f"SELECT 'global_cv' AS formula, {sse('w')} AS rmse FROM wide JOIN (SELECT h, {LSW} AS w FROM wide WHERE f <> h GROUP BY 1) USING (h) WHERE f = h")
+_found.append(f"SELECT printf('fixed_%.2f', w::DOUBLE) AS formula, {sse('w')} AS rmse FROM pred_vectors, (SELECT unnest(range(2, 9)) / 10 AS w) GROUP BY w")
+
+
+def search(s, d):
+    from loomlog.plans.stage import staged
+    from loomlog.workflows import blend_search
+
+    return blend_search(staged(folded(s, d)), "truth", "a", "b", "grp", GATES)
+
+
+query("blend_search", search, " UNION ALL ".join(_found), ctes=_SEARCH, floats="rmse", digits=3)
+
+
 def runs(s, d):
     return pv(s, d).select("id", F.inline(F.array(*[F.struct(F.lit(r).alias("run"), F.col(r).alias("pred")) for r in "abc"])))
 

@@ -245,3 +245,55 @@ def hedge_parabola(df: DataFrame, y: str, a: str, b: str, at=(0.0, 0.5, 1.0)) ->
     fit = df.agg(*mses).select("m0", "m1", "m2", q2.alias("q2"), q1.alias("q1"), q0.alias("q0")).withColumn("w_best", -F.col("q1") / (2 * F.col("q2")))
     w = F.col("w_best")
     return fit.select("w_best", F.sqrt(F.col("q2") * w * w + F.col("q1") * w + F.col("q0")).alias("rmse_best"))
+
+
+def gate_features(df: DataFrame, r: str, s: str, scores: list[str] | None = None) -> DataFrame:
+    """Signed and absolute disagreement of two predictions and the best of the match scores, beside the columns there are."""
+    new = {"signed_gap": F.col(r) - F.col(s), "abs_gap": F.abs(F.col(r) - F.col(s))}
+    if scores:
+        new["best_score"] = F.greatest(*[F.col(c) for c in scores]) if len(scores) > 1 else F.col(scores[0])
+    return df.withColumns(new)
+
+
+def mean_cv_weight(df: DataFrame, y: str, r: str, s: str, fold: str = "fold") -> float:
+    """Mean of the folds' cross-validated weights, the weight of the base blend."""
+    return float(blend_cv_global(df, y, r, s, fold).agg(F.avg("weight").alias("w")).first().w)
+
+
+RESIDUAL_ALPHA, DIRECT_ALPHA = 80.0, 40.0
+
+
+def residual_model(df: DataFrame, y: str, r: str, s: str, features: list[str], fold: str = "fold", folds: int = 5, base_weight: float | None = None, kind: str = "ridge_residual", out: str = "pred", **trees) -> DataFrame:
+    """Out-of-fold predictions by a model on gate features that corrects a base blend (``ridge_residual``, ``trees_residual``) or predicts
+    the target itself (``ridge_direct``). Gaps and infinite values are filled with the training folds' medians. Keys belong to folds as a whole."""
+    from loomlog.operators import models
+
+    if kind not in ("ridge_residual", "ridge_direct", "trees_residual"):
+        raise ValueError(f"no model {kind}")
+    weight = mean_cv_weight(df, y, r, s, fold) if base_weight is None else base_weight
+    base = F.lit(0.0) if kind == "ridge_direct" else F.lit(weight) * F.col(r) + F.lit(1 - weight) * F.col(s)
+    rows = df.withColumn("_base", base).withColumn("_target", F.col(y) - F.col("_base"))
+    if kind == "trees_residual":
+        from loomlog.plans.stage import staged
+
+        finite = rows.withColumns({f: F.when(~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f).cast("double")) != float("inf")), F.col(f).cast("double")) for f in features})
+        filled = staged(models.impute_median(finite, features, fold, folds))
+        return models.gbt_oof(filled, features, "_target", fold, folds, "_fix", **trees).withColumn(out, F.col("_base") + F.col("_fix")).drop("_base", "_target", "_fix")
+    fits = models.scaled_ridge_cv(rows, features, "_target", DIRECT_ALPHA if kind == "ridge_direct" else RESIDUAL_ALPHA, fold, folds)
+    fits = F.broadcast(fits.drop("rows", "sse").withColumnRenamed("held", "_held"))  # one row per fold
+    got = rows.join(fits, F.col(fold) == F.col("_held"))
+    return got.withColumn(out, F.col("_base") + models.scaled_ridge_value(features)).drop("_base", "_target", "_held", "fill", "mean", "scale", "coef", "intercept")
+
+
+def residual_model_report(df: DataFrame, y: str, r: str, s: str, features: list[str], fold: str = "fold", folds: int = 5, base_weight: float | None = None) -> DataFrame:
+    """RMSE of both ridge models per fold and pooled (fold -1), from sums alone: (model, fold, rows, rmse)."""
+    from loomlog.operators import models
+
+    weight = mean_cv_weight(df, y, r, s, fold) if base_weight is None else base_weight
+    parts = None
+    for kind, base, alpha in (("ridge_residual", F.lit(weight) * F.col(r) + F.lit(1 - weight) * F.col(s), RESIDUAL_ALPHA), ("ridge_direct", F.lit(0.0), DIRECT_ALPHA)):
+        per = models.scaled_ridge_cv(df.withColumn("_target", F.col(y) - base), features, "_target", alpha, fold, folds).select(F.col("held").alias("fold"), "rows", "sse")
+        both = per.union(per.agg(F.lit(-1).alias("fold"), F.sum("rows").alias("rows"), F.sum("sse").alias("sse")))
+        part = both.select(F.lit(kind).alias("model"), "fold", "rows", F.sqrt(F.col("sse") / F.col("rows")).alias("rmse"))
+        parts = part if parts is None else parts.union(part)
+    return parts

@@ -198,3 +198,84 @@ def feature_set_select(scores: DataFrame, policies: dict[str, str], allowed: lis
     tag = F.coalesce(*[F.when(F.col("model") == m, F.lit(p)) for m, p in policies.items()])
     ok = scores.withColumn("policy", tag).where(F.col("policy").isin(allowed))
     return ok.agg(F.min(F.struct("rmse", "model", "policy")).alias("b")).select("b.*")
+
+
+def fold_moments(df: DataFrame, features: list[str], y: str, fold: str = "fold") -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Cross products of (1, features, which are missing, y) for every fold from one pass, and the shifts they were taken about.
+
+    A missing value enters as 0 beside its indicator, so that gaps can be filled with any number afterwards. A task adds up its
+    batches and sends one matrix per fold; the columns are shifted by their means, so that large values lose no digits."""
+    p = len(features)
+    cols = [*features, y]
+    clean = [F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double")).alias(c) for c in cols]
+    rows = df.select(F.col(fold).cast("int").alias("_fold"), *clean).where(F.col(y).isNotNull())
+    means = rows.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shift = np.array([means[c] or 0.0 for c in cols])
+    size = 2 * p + 2
+
+    def products(batches):
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols]).astype(float) - shift
+            gone = np.isnan(own[:, :p])
+            z = np.column_stack([np.ones(len(own)), np.where(gone, 0.0, own[:, :p]), gone, own[:, p]])
+            which = batch.column("_fold").to_numpy()
+            for f in np.unique(which):
+                part = z[which == f]
+                sums[int(f)] = sums.get(int(f), 0.0) + part.T @ part
+        for f, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, f, np.int32)), pa.array(np.arange(m.size, dtype=np.int32)), pa.array(m.reshape(-1))], names=["fold", "cell", "value"])
+
+    cells = rows.mapInArrow(products, "fold int, cell int, value double").groupBy("fold", "cell").agg(F.sum("value").alias("value")).toArrow()
+    out: dict[int, np.ndarray] = {}
+    for f, cell, value in zip(*(cells.column(c).to_pylist() for c in ("fold", "cell", "value")), strict=True):
+        out.setdefault(f, np.zeros((size, size)))[cell // size, cell % size] = value
+    return out, shift
+
+
+def _filled(moments: np.ndarray, fill: np.ndarray) -> np.ndarray:
+    """Cross products of (1, features, y) once gaps are filled with ``fill`` (about the same shifts)."""
+    p = len(fill)
+    turn = np.zeros((p + 2, 2 * p + 2))
+    turn[0, 0] = turn[p + 1, 2 * p + 1] = 1.0
+    turn[1 : p + 1, 1 : p + 1] = np.eye(p)
+    turn[1 : p + 1, p + 1 : 2 * p + 1] = np.diag(fill)
+    return turn @ moments @ turn.T
+
+
+def scaled_ridge_cv(df: DataFrame, features: list[str], y: str, alpha: float, fold: str = "fold", folds: int = 5) -> DataFrame:
+    """One row per held-out fold: the model of median fill, scaling and ridge that the other folds give, and its error on the fold.
+
+    The rows are read for their medians and once for the cross products; training sums are the sum over all folds less
+    the held-out one, and the held-out error is a quadratic form in the held-out sums. ``coef`` belongs to (filled x - mean) / scale."""
+    moments, shift = fold_moments(df, features, y, fold)
+    p = len(features)
+    finite = {f: F.when(F.abs(F.col(f).cast("double")) != float("inf"), F.col(f).cast("double")) for f in features}
+    train = _held_out(df.where(F.col(y).isNotNull()), fold, folds).where(F.col(fold) != F.col("held"))
+    medians = {r.held: [r[f] for f in features] for r in quantiles(train, ["held"], {f: (c, 0.5) for f, c in finite.items()}).collect()}  # one row per fold
+    total = sum(moments.values()) if moments else 0.0
+    out = []
+    for h in sorted(moments):
+        fill = np.array([v if v is not None else s for v, s in zip(medians.get(h, [None] * p), shift)]) - shift[:p]
+        rest, own = _filled(total - moments[h], fill), _filled(moments[h], fill)
+        n = rest[0, 0]
+        if n < 1:
+            continue
+        mean = rest[0, 1:] / n
+        cov = rest[1:, 1:] / n - np.outer(mean, mean)
+        spread = np.diag(cov)[:p]
+        scale = np.sqrt(np.where(spread > 1e-24 * np.maximum(np.diag(rest)[1 : p + 1] / n, 1e-300), spread, 1.0))
+        a = n * cov[:p, :p] / np.outer(scale, scale) + alpha * np.eye(p)
+        coef = np.linalg.solve(a, n * cov[:p, p] / scale)
+        line = np.concatenate([[-(mean[p] - (coef / scale) @ mean[:p])], -coef / scale, [1.0]])  # y less the prediction, about the shifts
+        sse = max(float(line @ own @ line), 0.0)
+        out.append((h, int(own[0, 0]), sse, (fill + shift[:p]).tolist(), (mean[:p] + shift[:p]).tolist(), scale.tolist(), coef.tolist(), float(mean[p] + shift[p])))
+    return df.sparkSession.createDataFrame(out, "held int, rows long, sse double, fill array<double>, mean array<double>, scale array<double>, coef array<double>, intercept double")
+
+
+def scaled_ridge_value(features: list[str]) -> Column:
+    """Prediction of a row that carries the columns of its ``scaled_ridge_cv`` model."""
+    terms = [F.col("coef")[i] * (F.coalesce(F.when(~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f).cast("double")) != float("inf")), F.col(f).cast("double")), F.col("fill")[i]) - F.col("mean")[i]) / F.col("scale")[i] for i, f in enumerate(features)]
+    return F.col("intercept") + sum(terms)

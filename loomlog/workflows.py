@@ -136,8 +136,10 @@ def final_blend_replay(log: DataFrame, curve: DataFrame, tracked: DataFrame, fol
     return metrics.stage_report(rows, ["last_tvt", "selector", "ridge_pp"], "last_tvt", "tvt").select("stage", "rmse").union(sweep).union(cv)
 
 
-def blend_search(df: DataFrame, y: str, r: str, s: str, key: str, features: list[str], folds: int = 5, top: int = 20) -> DataFrame:
-    """Fixed, global, key-binned and row-binned blends, ranked by cross-validated RMSE."""
+def blend_search(df: DataFrame, y: str, r: str, s: str, key: str, features: list[str], folds: int = 5, top: int = 20, key_bins: tuple[int, ...] = (3,), row_bins: tuple[int, ...] = (6,)) -> DataFrame:
+    """Fixed, global, key-binned and row-binned blends and ridge models on the gate features, ranked by cross-validated RMSE.
+    ``signed_gap`` and ``abs_gap`` may be named as features beside the columns of ``df``."""
+    df = blend.gate_features(df, r, s)
     parts = [blend.blend_sweep(df, y, r, s, [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]).select(F.format_string("fixed_%.2f", "weight").alias("formula"), "rmse")]
 
     def pooled(report: DataFrame, name: str) -> DataFrame:
@@ -145,8 +147,9 @@ def blend_search(df: DataFrame, y: str, r: str, s: str, key: str, features: list
 
     parts.append(pooled(blend.blend_cv_global(df, y, r, s, "fold"), "global_cv"))
     for f in features:
-        parts.append(pooled(blend.blend_cv_key_bins(df, y, r, s, f, key, "fold", folds), f"key_bins_{f}"))
-        parts.append(pooled(blend.blend_cv_row_bins(df, y, r, s, f, "fold", folds), f"row_bins_{f}"))
+        parts += [pooled(blend.blend_cv_key_bins(df, y, r, s, f, key, "fold", folds, n), f"key_bins_{f}_q{n}") for n in key_bins]
+        parts += [pooled(blend.blend_cv_row_bins(df, y, r, s, f, "fold", folds, n), f"row_bins_{f}_q{n}") for n in row_bins]
+    parts.append(blend.residual_model_report(df, y, r, s, features, "fold", folds).where("fold = -1").select(F.col("model").alias("formula"), "rmse"))
     return union_frames(parts).orderBy("rmse", "formula").limit(top)
 
 
