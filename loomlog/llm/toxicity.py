@@ -27,7 +27,7 @@ EXAMPLES = 4000
 CHI2 = 10.83  # one in a thousand; so much chi-squared doubles the weight of a term
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.5
-PER_BLOCK = 64
+PER_BLOCK = 128
 UNKNOWN = 0.49  # without any evidence no text is called toxic
 PREFIXES = (4, 5)
 ROWS = 256
@@ -238,10 +238,10 @@ def build(vocabulary: np.ndarray, frequencies: np.ndarray, n_docs: int, examples
     index.full_most = index.full.max(2) if len(frequent) else np.zeros((0, n_blocks), np.float32)
     by_term = np.lexsort((w.rows, w.numbers))
     by_term = by_term[row[by_term] < 0]
-    number, index.example, index.weight = w.numbers[by_term], w.rows[by_term].astype(np.int32), w.values[by_term]
+    number, index.example, index.weight = w.numbers[by_term], w.rows[by_term].astype(np.int64), w.values[by_term].astype(np.float64)
     block = index.example // PER_BLOCK
     fresh = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (block[1:] != block[:-1]))) if len(number) else none
-    index.run_block, index.run_starts = block[fresh].astype(np.int32), np.append(fresh, len(number)).astype(np.int64)
+    index.run_block, index.run_starts = block[fresh], np.append(fresh, len(number)).astype(np.int64)
     index.run_most = np.maximum.reduceat(index.weight, fresh) if len(fresh) else index.weight
     index.runs_of = np.searchsorted(number[fresh], np.arange(len(vocabulary) + 1))
     left_out = []
