@@ -1,9 +1,9 @@
 """Look-ups on reference curves.
 
-Queries and curve knots of a key are merged along the value axis and cut into
-blocks of bounded size; each query then sees the knot before and after it. There is
-no range join and no packed curve, so neither long curves nor hot keys gather in one
-place.
+The different values that rows of a key ask for and the curve's knots are merged along the value
+axis and cut into ranges of equal counts; each value then sees the knot before and after it, and the
+answers are joined back. There is no range join and no packed curve, so neither long curves, hot keys
+nor hot values gather in one place.
 """
 
 from __future__ import annotations
@@ -14,41 +14,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.exprs import clip, lerp
-from loomlog.plans.blocks import Seq, axis_block, framed, scan
+from loomlog.plans.blocks import BLOCK, Seq, dealt, framed, scan
 from loomlog.plans.stage import staged
 
 STEP_OFFSETS = [float(o) for o in range(-60, 61, 5)]
 ENDPOINTS = [-60.0, -40.0, -25.0, -15.0, -8.0, 0.0, 8.0, 15.0, 25.0, 40.0, 60.0]
 
 
-def locate(rows: DataFrame, knots: DataFrame, q: str, x: str, carry: list[str], key: str = "well_id") -> DataFrame:
-    """Add to every row: ``_lo`` the last knot with x <= q, ``_hi`` the first with x > q
-    (structs of x and the carried columns), ``_below`` how many knots are <= q, ``_n`` all."""
-    asked = rows.select(F.col(key), F.col(q).cast("double").alias("_x"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"))
-    given = knots.where(F.col(x).isNotNull()).select(
-        F.col(key), F.col(x).cast("double").alias("_x"), F.lit(0).alias("_kind"), F.struct(F.col(x).alias("x"), *carry).alias("_k")
-    )
-    both = staged(asked.unionByName(given, allowMissingColumns=True))  # read by three branches
-    one = F.when(F.col("_kind") == 0, 1).otherwise(0).cast("bigint")
+def found_at(asked: DataFrame, knots: DataFrame, x: str, carry: list[str], key: str = "well_id") -> DataFrame:
+    """For every different (key, _x) of ``asked``: ``_lo`` the last knot with x <= _x, ``_hi`` the first with x > _x (structs of x
+    and the carried columns), ``_below`` how many knots are <= _x, ``_n`` all knots of the key.
+
+    Equal questions are asked once and equal knots counted into one (the largest of their carried columns stands for them), so
+    one value over most rows is one row here, and ranges of equal counts are blocks of bounded size."""
+    asked = asked.where(F.col("_x").isNotNull()).select(key, "_x").distinct().withColumn("_kind", F.lit(1))
+    given = knots.where(F.col(x).isNotNull()).select(key, F.col(x).cast("double").alias("_x"), F.struct(F.col(x).alias("x"), *carry).alias("_k"))
+    given = given.groupBy(key, "_x").agg(F.max("_k").alias("_k"), F.count("*").alias("_c")).withColumn("_kind", F.lit(0))
+    both = dealt(asked.unionByName(given, allowMissingColumns=True), key, "_x")
+    many = F.coalesce(F.col("_c"), F.lit(0).cast("bigint"))
     found = scan(
         both,
-        run={"_below": one},
+        run={"_below": many},
         last={"_lo": F.col("_k")},
         following={"_hi": F.col("_k")},
-        total={"_n": ("sum", one)},
+        total={"_n": ("sum", many)},
         seq=Seq(key=key),
         order=["_x", "_kind"],
-        block=axis_block(both, key, "_x"),
+        block=F.col(BLOCK),
     )
-    return found.where("_kind = 1").select("_row.*", "_lo", "_hi", "_below", "_n")
+    return found.where("_kind = 1").select(key, "_x", "_lo", "_hi", "_below", "_n")
+
+
+def joined_at(rows: DataFrame, found: DataFrame, q: str, key: str = "well_id", suffix: str = "") -> DataFrame:
+    """The answers of ``found_at`` beside the rows that asked with column ``q``; NULL where q or the key's curve is missing."""
+    own = [c for c in found.columns if c not in (key, "_x")]
+    answers = found.select(F.col(key).alias("_key_"), F.col("_x").alias("_x_"), *[F.col(c).alias(f"{c}{suffix}") for c in own])
+    return rows.join(answers, (F.col(key) == F.col("_key_")) & (F.col(q).cast("double") == F.col("_x_")), "left").drop("_key_", "_x_")
+
+
+def locate(rows: DataFrame, knots: DataFrame, q: str, x: str, carry: list[str], key: str = "well_id", cheap: bool = False) -> DataFrame:
+    """Add to every row what ``found_at`` says of its q. The rows are read twice, so they are written once before, unless they are ``cheap`` to make again."""
+    rows = rows if cheap or hasattr(rows, "_stage_path") else staged(rows)
+    found = found_at(rows.select(key, F.col(q).cast("double").alias("_x")), knots, x, carry, key)
+    return joined_at(rows, found, q, key)
 
 
 def curve_interp(
-    rows: DataFrame, curve: DataFrame, q: str, out: str = "ref_gr", x: str = "tvt", y: str = "gr", outside: str = "hold", key: str = "well_id"
+    rows: DataFrame, curve: DataFrame, q: str, out: str = "ref_gr", x: str = "tvt", y: str = "gr", outside: str = "hold", key: str = "well_id", cheap: bool = False
 ) -> DataFrame:
     """Linear interpolation of the key's curve at ``q``. Outside the curve the end values
     hold, or the result is NULL (``outside="null"``). Curves of one point give NULL."""
-    got = locate(rows, curve.where(F.col(y).isNotNull()), q, x, [y], key)
+    got = locate(rows, curve.where(F.col(y).isNotNull()), q, x, [y], key, cheap)
     lo, hi, at = F.col("_lo"), F.col("_hi"), F.col(q)
     value = lerp(at, lo["x"], lo[y], hi["x"], hi[y])
     ok = at.isNotNull() & (F.col("_n") >= 2)
@@ -95,11 +111,24 @@ def asof_transfer_md(rows: DataFrame, donor: DataFrame, value: str = "tvt", md:
 def at_offsets(rows: DataFrame, curve: DataFrame, anchor: Column, offsets: list[float], scale: Column | None = None, key: str = "well_id") -> DataFrame:
     """Long form: one row per (row, offset) with the curve's value at anchor + offset.
     ``scale`` maps the curve value to the signal (affine calibration)."""
+    rows = rows if hasattr(rows, "_stage_path") else staged(rows)
     wide = rows.withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).withColumn("_q", anchor + F.col("offset"))
-    got = curve_interp(wide, curve, "_q", "cand_gr", key=key)
+    got = curve_interp(wide, curve, "_q", "cand_gr", key=key, cheap=True)
     return got if scale is None else got.withColumn("cand_gr", scale)
 
 
+def values_at_offsets(rows: DataFrame, curve: DataFrame, anchor: Column, offsets: list[float], out: str = "cands", key: str = "well_id") -> DataFrame:
+    """Wide form: an array of (offset, value) in the order of ``offsets`` beside every row. Only the different (key, anchor) pairs are
+    multiplied by the offsets and looked up; rows get their array by one join."""
+    rows = staged(rows.withColumn("_anchor", anchor.cast("double")))
+    points = rows.where(F.col("_anchor").isNotNull()).select(key, "_anchor").distinct()
+    points = points.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(o)).alias("offset")) for i, o in enumerate(offsets)])))
+    points = curve_interp(points.withColumn("_q", F.col("_anchor") + F.col("_o")["offset"]), curve, "_q", "_v", key=key)
+    arrays = points.groupBy(key, "_anchor").agg(F.array_sort(F.collect_list(F.struct(F.col("_o")["i"].alias("i"), F.col("_o")["offset"].alias("offset"), F.col("_v").alias("value")))).alias("_all"))
+    arrays = arrays.select(F.col(key).alias("_key_"), F.col("_anchor").alias("_at_"), F.transform("_all", lambda c: F.struct(c["offset"].alias("offset"), c["value"].alias("value"))).alias(out))
+    return rows.join(arrays, (F.col(key) == F.col("_key_")) & (F.col("_anchor") == F.col("_at_")), "left").drop("_key_", "_at_", "_anchor")
+
+
 def offset_residual_family(
     rows: DataFrame, curve: DataFrame, anchors: dict[str, tuple[Column, list[float]]], signal: str = "gr", ids=("well_id", "row_idx"), key: str = "well_id"
 ) -> DataFrame:
@@ -136,8 +165,24 @@ def _best_of(long: DataFrame, ids, choice: str, gap: Column, score_scale: float)
 
 def local_offset_search(rows: DataFrame, curve: DataFrame, anchor: Column, offsets=STEP_OFFSETS, signal: str = "gr", score_scale: float = 20.0,
                         ids=("well_id", "row_idx"), key: str = "well_id", scale: Column | None = None) -> DataFrame:
-    long = at_offsets(rows, curve, anchor, offsets, scale, key).withColumn("_rank", F.col("offset"))
-    return _best_of(long, list(ids), "offset", F.abs(F.col(signal) - F.col("cand_gr")), score_scale)
+    if scale is not None:
+        long = at_offsets(rows, curve, anchor, offsets, scale, key).withColumn("_rank", F.col("offset"))
+        return _best_of(long, list(ids), "offset", F.abs(F.col(signal) - F.col("cand_gr")), score_scale)
+    kept = list(dict.fromkeys([*ids, key]))
+    got = values_at_offsets(rows.select(*kept, F.col(signal).cast("double").alias("_signal"), anchor.alias("_from")), curve, F.col("_from"), offsets, key=key)
+    scored = F.transform("cands", lambda c: F.struct(F.abs(F.col("_signal") - c["value"]).alias("r"), c["offset"].alias("c"), c["value"].alias("g")))
+    got = got.withColumn("_c", F.filter(scored, lambda c: c["r"].isNotNull()))
+    two = F.slice(F.sort_array(F.transform("_c", lambda c: c["r"])), 1, 2)
+    none = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("o"))
+    sums = F.aggregate("_c", none, lambda s, c: F.struct((s["w"] + F.exp(-c["r"] / score_scale)).alias("w"), (s["o"] + F.exp(-c["r"] / score_scale) * c["c"]).alias("o")))
+    got = got.withColumns({"_best": F.array_min("_c"), "_two": two, "_sums": sums})
+    zero = F.filter("_c", lambda c: c["c"] == 0)
+    return got.select(
+        *ids,
+        F.col("_best")["c"].alias("best"), F.col("_best")["r"].alias("best_abs"), F.try_element_at(zero, F.lit(1))["r"].alias("zero_abs"),
+        (F.try_element_at("_two", F.lit(2)) - F.try_element_at("_two", F.lit(1))).alias("top2_gap"),
+        F.when(F.size("_c") > 0, F.col("_sums")["o"] / F.nullif(F.col("_sums")["w"], F.lit(0.0))).alias("soft_mean"), F.col("_best")["g"].alias("best_gr"),
+    )
 
 
 def curve_boundaries(curve: DataFrame, x: str = "tvt", label: str = "geology", key: str = "well_id", bounds: bool = False) -> DataFrame:
@@ -145,7 +190,8 @@ def curve_boundaries(curve: DataFrame, x: str = "tvt", label: str = "geology", k
     with ``bounds`` also both ends of the curve. Each position once."""
     clean = curve.where(F.col(x).isNotNull() & F.col(label).isNotNull())
     seq = Seq(key=key, pos="_i")
-    ranked = scan(clean.select(key, x, label), run={"_i": F.lit(1).cast("bigint")}, seq=seq, order=[x, label], block=axis_block(clean, key, x))
+    given = dealt(clean.select(key, x, label).distinct(), key, x)  # equal knots change nothing
+    ranked = scan(given, run={"_i": F.lit(1).cast("bigint")}, seq=seq, order=[x, label], block=F.col(BLOCK))
     ranked = ranked.withColumn("_i", F.col("_i") - 1)
     marked = framed(ranked, lambda w: {"_prev": F.lag(label).over(w)}, 1, 0, seq)
     out = marked.where(F.col("_prev") != F.col(label)).select(key, F.col(x).alias("boundary"))
@@ -159,9 +205,7 @@ def interval_context(rows: DataFrame, bounds: DataFrame, q: str, key: str = "wel
     """Interval of ``bounds`` that holds q (values outside use the end intervals), distances
     to both ends, thickness, phase and derived measures."""
     seq = Seq(key=key, pos="_i")
-    bounds = staged(bounds)
-    ranked = scan(bounds, run={"_i": F.lit(1).cast("bigint")}, total={"_nb": ("sum", F.lit(1).cast("bigint"))}, seq=seq, order=["boundary"],
-                  block=axis_block(bounds, key, "boundary"))
+    ranked = scan(dealt(bounds, key, "boundary"), run={"_i": F.lit(1).cast("bigint")}, total={"_nb": ("sum", F.lit(1).cast("bigint"))}, seq=seq, order=["boundary"], block=F.col(BLOCK))
     ranked = ranked.withColumn("_i", F.col("_i") - 1)
     spans = framed(ranked, lambda w: {"_base": F.lead("boundary").over(w)}, 0, 1, seq).where(F.col("_base").isNotNull())
     got = locate(rows, spans, q, "boundary", ["_base"], key)
@@ -182,8 +226,10 @@ def interval_context(rows: DataFrame, bounds: DataFrame, q: str, key: str = "wel
 def boundary_counts(rows: DataFrame, boundaries: DataFrame, a: str, b: str, key: str = "well_id") -> DataFrame:
     """Boundaries between two values, open below and closed above, and the distance of ``b``
     to the nearest one. Counts are differences of ranks, so nothing is paired."""
-    first = locate(rows, boundaries, a, "boundary", [], key).withColumn("_ra", F.col("_below")).drop("_lo", "_hi", "_below", "_n")
-    got = locate(first, boundaries, b, "boundary", [], key)
+    rows = rows if hasattr(rows, "_stage_path") else staged(rows)
+    asked = rows.select(key, F.explode(F.array(F.col(a).cast("double"), F.col(b).cast("double"))).alias("_x"))
+    found = staged(found_at(asked, boundaries, "boundary", [], key))
+    got = joined_at(joined_at(rows, found.select(key, "_x", F.col("_below").alias("_ra")), a, key), found, b, key)
     lo, hi, at = F.col("_lo")["x"], F.col("_hi")["x"], F.col(b)
     some = F.col("_n") > 0
     near = F.least(F.abs(at - lo), F.abs(hi - at))

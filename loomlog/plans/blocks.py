@@ -84,6 +84,16 @@ def axis_block(df: DataFrame, key: str, axis: str, rows: int | None = None) -> C
     return F.coalesce(F.least(at, s["blocks"] - 1), F.lit(0)).cast("bigint")
 
 
+def dealt(df: DataFrame, key: str, axis: str) -> DataFrame:
+    """``df`` written once in ranges of (key, axis) of about equal counts, numbered by ``BLOCK``.
+
+    Spark draws the limits from a sample, so a key with a narrow range, or with most rows, is cut where its rows are. Rows of one
+    (key, axis) stay together: bring each pair once or a few times (see ``curves.found_at``)."""
+    from loomlog.plans.stage import staged
+
+    return staged(df.repartitionByRange(key, axis).withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+
+
 def _by(value: Column, order: Column, last: bool) -> Column:
     at = F.when(value.isNotNull(), order)
     return F.max_by(value, at) if last else F.min_by(value, at)

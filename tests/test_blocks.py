@@ -78,9 +78,19 @@ def test_longest_run_over_block_borders(spark, log):
         assert got[k] == best
 
 
-@pytest.mark.parametrize("rows", [5, 1 << 14])
-def test_curve_interp_matches_numpy(spark, log, rows, monkeypatch):
-    monkeypatch.setattr(blocks, "AXIS_ROWS", rows)
+@pytest.mark.parametrize("parts", ["1", "23"])
+def test_curve_interp_matches_numpy(spark, log, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        interp_matches_numpy(spark, log)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def interp_matches_numpy(spark, log):
     curve = curve_of()
     got = frame(curves.curve_interp(to_spark(spark, log), to_spark(spark, curve), "tvt", "c"))
     inside = frame(curves.curve_interp(to_spark(spark, log), to_spark(spark, curve), "tvt", "c", outside="null"))
@@ -90,6 +100,35 @@ def test_curve_interp_matches_numpy(spark, log, rows, monkeypatch):
         np.testing.assert_allclose(inside[inside.well_id == k]["c"].astype(float), np.interp(p["tvt"], c["tvt"], c["gr"], np.nan, np.nan))
 
 
+def test_one_value_over_most_rows_gives_bounded_blocks(spark, monkeypatch):
+    """A hot key whose rows ask for one value nearly all, beside a key with a range a million times as wide."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    ask = pd.DataFrame({"well_id": "hot", "row_idx": np.arange(12_000), "q": 5.0})
+    ask["q"] = np.where(rng.random(len(ask)) < 0.1, 5 + rng.random(len(ask)) * 1e-3, 5.0)
+    ask = pd.concat([ask, pd.DataFrame({"well_id": "wide", "row_idx": np.arange(100), "q": rng.uniform(0, 1e6, 100)}), pd.DataFrame({"well_id": ["hot", "none"], "row_idx": [-1, 0], "q": [np.nan, 1.0]})])
+    curve = pd.DataFrame({"well_id": "hot", "tvt": np.sort(5 + rng.random(3000) * 1e-3), "gr": rng.normal(0, 1, 3000)})
+    curve = pd.concat([curve, curve.iloc[:500], pd.DataFrame({"well_id": "wide", "tvt": [0.0, 1e6], "gr": [0.0, 1.0]})])  # repeated knots
+    seen = []
+    dealt = curves.dealt
+    monkeypatch.setattr(curves, "dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    for name, value in (("spark.sql.shuffle.partitions", "16"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        rows = spark.createDataFrame(ask).withColumn("q", F.when(~F.isnan("q"), F.col("q")))
+        got = curves.curve_interp(rows, spark.createDataFrame(curve), "q", "c").toPandas()
+        sizes = seen[0].groupBy(blocks.BLOCK).count().toPandas()["count"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sizes.sum() < 4500 and len(sizes) >= 12 and sizes.max() < 3 * sizes.sum() / 16
+    assert len(got) == len(ask) and got[(got.well_id == "none") | got.q.isna()]["c"].isna().all()
+    for k in ("hot", "wide"):
+        own, c = got[(got.well_id == k) & got.q.notna()], curve[curve.well_id == k].drop_duplicates()
+        np.testing.assert_allclose(own["c"].astype(float), np.interp(own["q"].astype(float), c["tvt"], c["gr"]), atol=1e-9)
+
+
 def test_single_point_curve_gives_null(spark, log):
     curve = curve_of(n=1)
     assert curves.curve_interp(to_spark(spark, log), to_spark(spark, curve), "tvt", "c").where("c IS NOT NULL").count() == 0
