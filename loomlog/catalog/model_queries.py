@@ -13,8 +13,12 @@ from loomlog.operators import models as op
 ID = ["well_id", "row_idx"]
 
 query("group_kfold", lambda s, d: op.group_kfold(seq_log(s, d), 5),
-      """SELECT well_id, k AS rows, CASE WHEN r % 10 < 5 THEN r % 10 ELSE 9 - r % 10 END AS fold FROM (SELECT well_id, k, row_number() OVER (ORDER BY k DESC, md5(well_id), well_id) - 1 AS r
-      FROM (SELECT well_id, count(*) AS k FROM seq_log GROUP BY 1))""", ctes=SEQ_CTE)
+      """SELECT well_id, k AS rows, CAST(fold AS INTEGER) AS fold FROM walk""",
+      ctes=SEQ_CTE.replace("ev AS", "RECURSIVE ev AS", 1).lstrip() + """,
+      sized AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k DESC, md5(well_id), well_id) AS i FROM (SELECT well_id, count(*) AS k FROM seq_log GROUP BY 1)),
+      walk AS (SELECT i, well_id, k, 0 AS fold, [k, 0, 0, 0, 0] AS loads FROM sized WHERE i = 1
+        UNION ALL SELECT s.i, s.well_id, s.k, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, n: CASE WHEN n = list_position(loads, list_min(loads)) THEN v + s.k ELSE v END)
+        FROM walk w JOIN sized s ON s.i = w.i + 1)""")
 query("seeded_kfold", lambda s, d: op.seeded_kfold(seq_log(s, d), 5, 204, 3),
       """SELECT repeat, well_id, (row_number() OVER (PARTITION BY repeat ORDER BY md5(concat(well_id, 204 + 1009 * repeat)), well_id) - 1) % 5 AS fold
       FROM (SELECT DISTINCT well_id FROM seq_log), (SELECT unnest([0, 1, 2]) AS repeat)""", ctes=SEQ_CTE)

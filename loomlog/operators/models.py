@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlog.plans.quantiles import _bin, quantiles
@@ -12,13 +13,43 @@ from loomlog.plans.ranks import global_rank
 from loomlog.plans.stage import staged
 
 
+def _deal_sizes(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """Largest-to-lightest dealing of whole size classes (size, keys), largest first: (size, first rank, folds in turn).
+
+    Within a class the lightest fold takes the next key, the lowest-numbered on a tie. Folds come in as the others reach their
+    load, and from there on they take turns, so a class of any number of keys is at most ``k`` runs of turns."""
+    loads, out = [0] * k, []
+    for size, keys in classes:
+        at, given = 0, [0] * k
+        level = {f: loads[f] // size for f in range(k)}
+        stops = sorted(set(level.values()))
+        for i, now in enumerate(stops):
+            turn = sorted((f for f in range(k) if level[f] <= now), key=lambda f: (loads[f] % size, f))
+            rounds = stops[i + 1] - now if i + 1 < len(stops) else keys
+            n = min(keys - at, rounds * len(turn))
+            if not n:
+                break
+            out.append((size, at, turn))
+            for j, f in enumerate(turn):
+                given[f] += n // len(turn) + (j < n % len(turn))
+            at += n
+        loads = [w + size * g for w, g in zip(loads, given)]
+    return out
+
+
 def group_kfold(df: DataFrame, k: int = 5, key: str = "well_id") -> DataFrame:
-    """Whole keys to folds, the largest first, back and forth over the folds: (key, rows, fold)."""
-    sizes = df.groupBy(key).agg(F.count("*").alias("rows")).withColumn("_h", F.md5(F.col(key).cast("string")))
-    coarse = F.struct(-F.col("rows"), F.substring("_h", 1, 3))
-    ranked = global_rank(sizes, coarse, [F.desc("rows"), "_h", key])
-    r = F.col("rank") % (2 * k)
-    return ranked.select(key, "rows", F.when(r < k, r).otherwise(2 * k - 1 - r).cast("int").alias("fold"))
+    """Whole keys to folds, the largest first and always to the lightest fold: (key, rows, fold); equal sizes in the order of hash and key.
+
+    Only the number of keys of every distinct size goes through the driver (there are fewer distinct sizes than the root of twice
+    the rows); keys find their fold by their rank among those of one size."""
+    sizes = staged(df.groupBy(key).agg(F.count("*").alias("rows")).withColumn("_h", F.md5(F.col(key).cast("string"))))
+    classes = sorted(((r.rows, r.n) for r in sizes.groupBy("rows").agg(F.count("*").alias("n")).collect()), reverse=True)
+    turns = df.sparkSession.createDataFrame(_deal_sizes(classes, k), "rows long, first long, turn array<int>")
+    turns = turns.withColumn("next", F.coalesce(F.lead("first").over(W.partitionBy("rows").orderBy("first")), F.lit(1 << 62)))
+    ranked = global_rank(sizes, F.substring("_h", 1, 3), ["_h", key], by=["rows"])
+    own = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("next"))
+    got = ranked.join(turns.withColumnRenamed("rows", "_rows"), (F.col("rows") == F.col("_rows")) & own)
+    return got.select(key, "rows", F.element_at("turn", ((F.col("rank") - F.col("first")) % F.size("turn") + 1).cast("int")).alias("fold"))
 
 
 def seeded_kfold(keys: DataFrame, k: int = 5, seed: int = 204, repeats: int = 1, key: str = "well_id") -> DataFrame:

@@ -141,6 +141,43 @@ def test_fold_sizes_and_whole_keys(spark):
     assert rows.max() - rows.min() <= 23
 
 
+def greedy(sizes, k):
+    """Largest first, each to the lightest fold, the lowest-numbered on a tie: folds in the order of ``sizes``."""
+    loads, out = [0] * k, []
+    for n in sizes:
+        f = min(range(k), key=lambda i: (loads[i], i))
+        loads[f] += n
+        out.append(f)
+    return out
+
+
+def test_size_classes_are_dealt_like_single_keys():
+    rng = np.random.default_rng(6)
+    for k in (1, 2, 3, 5, 8):
+        for most in (1, 3, 40, 1000):
+            for n in (1, 7, 300):
+                sizes = sorted(rng.integers(1, most + 1, n).tolist() + [9000] * (n % 2), reverse=True)
+                classes = sorted(((s, sizes.count(s)) for s in set(sizes)), reverse=True)
+                runs, got = models._deal_sizes(classes, k), []
+                for s, c in classes:
+                    own = [r for r in runs if r[0] == s]
+                    got += [next(t[(m - first) % len(t)] for _, first, t in reversed(own) if first <= m) for m in range(c)]
+                assert got == greedy(sizes, k)
+                assert len(runs) <= k * len(classes)
+
+
+def test_folds_equal_the_greedy_ones(spark):
+    import hashlib
+
+    rng = np.random.default_rng(7)
+    rows = {f"k{i}": int(rng.integers(1, 12)) for i in range(200)} | {"huge": 700}
+    df = spark.createDataFrame([(key,) for key, n in rows.items() for _ in range(n)], "well_id string")
+    order = sorted(rows, key=lambda key: (-rows[key], hashlib.md5(key.encode()).hexdigest(), key))
+    want = dict(zip(order, greedy([rows[key] for key in order], 4)))
+    assert {r.well_id: r.fold for r in models.group_kfold(df, 4).collect()} == want
+    assert models.group_kfold(df.where("well_id = 'none'"), 4).count() == 0
+
+
 def test_files_round_trip(spark, tmp_path):
     for split in ("train", "test"):
         d = tmp_path / split
