@@ -1,10 +1,9 @@
 """Imputation of surfaces from neighbouring points.
 
-Nearest neighbours are exact and found on grids of growing cell size: on every level a
-query meets the points of its own and the eight cells around it, and is finished when
-its k-th neighbour lies within one cell. Dense places finish on fine grids, so crowded
-cells are never paired as a whole; the few queries left in empty country go on to
-coarser grids.
+Nearest neighbours are exact. Points are packed into tiles of equal counts (slabs along x, each cut along y), tiles into
+larger boxes, eight by eight, so the depth of the tree and the size of a tile don't depend on where the points lie. Queries go
+down level by level: the boxes that a query still holds give an upper bound of its k-th distance, counting only points
+of other groups, and boxes beyond the bound are dropped. At the end a query meets the points of a few tiles.
 """
 
 from __future__ import annotations
@@ -17,7 +16,9 @@ from loomlog.plans.blocks import SEQ, Seq, axis_block, scan
 from loomlog.plans.quantiles import quantiles
 from loomlog.plans.stage import staged
 
-FINEST = 12
+TILE = 32  # points of a tile
+FAN = 3  # a box holds 2**FAN by 2**FAN boxes of the level below
+TOP = 64  # boxes of the highest level
 
 
 def surface_sparse_points(df: DataFrame, cols: list[str], grp: str = "grp") -> DataFrame:
@@ -43,60 +44,87 @@ def axis_scale(points: DataFrame, x: str = "x", y: str = "y", least: float = 1e-
     return points.agg(F.when(sx < least, 1.0).otherwise(sx).alias("sx"), F.when(sy < least, 1.0).otherwise(sy).alias("sy"))
 
 
-def _start_level(points: DataFrame, x0: float, y0: float, size: float, crowd: int) -> int:
-    """Coarsest grid whose fullest cell holds at most ``crowd`` points, from counts on the
-    finest grid alone."""
-    fine = points.groupBy(F.floor((F.col("_x") - x0) / size).alias("cx"), F.floor((F.col("_y") - y0) / size).alias("cy")).agg(F.count("*").alias("n"))
-    levels = fine.select("n", "cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("up"))
-    cell = [F.floor(F.col(c) / F.pow(F.lit(2.0), "up")) for c in ("cx", "cy")]
-    full = levels.groupBy("up", cell[0].alias("a"), cell[1].alias("b")).agg(F.sum("n").alias("n")).groupBy("up").agg(F.max("n").alias("n"))
-    fits = [r.up for r in full.collect() if r.n <= crowd]  # one row per level
-    return max(fits) if fits else 0
+def _tiles(points: DataFrame, crowd: int) -> DataFrame:
+    """The points (_x, _y, p_id), written once with the tile they belong to: slab of about equal counts along x, tile of ``crowd`` points
+    along y. A slab holds about the root of ``crowd`` times the number of points."""
+    n = points.count()
+    slabs = max(1, round((n / crowd) ** 0.5))
+    ranged = staged(points.repartitionByRange(slabs, "_x", "_y", "p_id").withColumn("slab", F.spark_partition_id()))
+    inside = F.row_number().over(W.partitionBy("slab").orderBy("_y", "_x", "p_id"))
+    return staged(ranged.withColumn("tile", F.floor((inside - 1) / crowd).cast("int")))
+
+
+def _boxes(tiles: DataFrame, level: int, by: list[str]) -> DataFrame:
+    """Boxes of a level (0: tiles) with their extent and number of points, or with their points per value of ``by``."""
+    at = [F.shiftright("slab", FAN * level).alias("a"), F.shiftright("tile", FAN * level).alias("b")]
+    if by:
+        return tiles.groupBy(*at, *by).agg(F.sum("n").alias("own"))
+    ends = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    return tiles.groupBy(*at).agg(*ends, F.sum("n").alias("n"))
+
+
+def near_pairs(queries: DataFrame, points: DataFrame, k: int, exclude: str | None = None, crowd: int = TILE) -> DataFrame:
+    """Queries (q_id, q_x, q_y, ``exclude``) beside the points of every tile that can hold one of their k nearest points of another
+    ``exclude`` value (points: p_id, _x, _y, p_<exclude>, ...). Both without missing coordinates or groups."""
+    ex = [exclude] if exclude else []
+    pts = _tiles(points, crowd)
+    size = pts.groupBy("slab", "tile").agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.count("*").alias("n"))
+    leaves = staged(size)
+    groups = staged(pts.groupBy("slab", "tile", *[F.col(f"p_{e}").alias(e) for e in ex]).agg(F.count("*").alias("n"))) if ex else None
+    slab, tile = leaves.agg(F.coalesce(F.max("slab"), F.lit(0)), F.coalesce(F.max("tile"), F.lit(0))).first()
+    top = 0
+    while ((slab >> FAN * top) + 1) * ((tile >> FAN * top) + 1) > TOP:
+        top += 1
+    front: DataFrame | None = None
+    for level in range(top, -1, -1):
+        boxes = _boxes(leaves, level, [])
+        if front is None:  # TOP boxes at most
+            held = boxes.agg(F.collect_list(F.struct(*boxes.columns)).alias("all")).scalar()
+            met = queries.withColumn("_b", F.explode(held)).select("q_id", *ex, "q_x", "q_y", "_b.*")
+        else:
+            below = boxes.withColumns({"_pa": F.shiftright("a", FAN), "_pb": F.shiftright("b", FAN)})
+            met = front.withColumnsRenamed({"a": "_pa", "b": "_pb"}).join(below, ["_pa", "_pb"]).drop("_pa", "_pb")
+        foreign = F.col("n")
+        if groups is not None:
+            met = met.join(_boxes(groups, level, ex), ["a", "b", *ex], "left")
+            foreign = F.col("n") - F.coalesce("own", F.lit(0))
+        zero = F.lit(0.0)
+        dx, dy = (F.greatest(F.col(f"{c}0") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"{c}1"), zero) for c in "xy")
+        fx, fy = (F.greatest(F.abs(F.col(f"q_{c}") - F.col(f"{c}0")), F.abs(F.col(f"q_{c}") - F.col(f"{c}1"))) for c in "xy")
+        met = met.withColumns({"_n": foreign, "_least": F.sqrt(dx * dx + dy * dy), "_most": F.sqrt(fx * fx + fy * fy)}).where("_n > 0")
+        mine = W.partitionBy("q_id")
+        enough = F.sum("_n").over(mine.orderBy("_most", "a", "b").rowsBetween(W.unboundedPreceding, W.currentRow)) >= k
+        met = met.withColumn("_enough", F.when(enough, F.col("_most")))
+        bound = F.min("_enough").over(mine)
+        met = met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") * (1 + 1e-12)))
+        front = staged(met.select("q_id", *ex, "q_x", "q_y", "a", "b"))
+    pairs = front.join(pts.withColumnsRenamed({"slab": "a", "tile": "b"}), ["a", "b"]).drop("a", "b")
+    for e in ex:
+        pairs = pairs.where(F.col(e) != F.col(f"p_{e}"))
+    return pairs.withColumn("dist", F.sqrt((F.col("q_x") - F.col("_x")) ** 2 + (F.col("q_y") - F.col("_y")) ** 2))
 
 
 def knn(
-    queries: DataFrame, points: DataFrame, k: int, qid: str = "id", pid: str = "id", exclude: str | None = "grp", scaled: bool = True, carry: list[str] | None = None, crowd: int = 32
+    queries: DataFrame, points: DataFrame, k: int, qid: str = "id", pid: str = "id", exclude: str | None = "grp", scaled: bool = True, carry: list[str] | None = None, crowd: int = TILE
 ) -> DataFrame:
     """k nearest points of every query, those with the query's own ``exclude`` value left out
-    before ranking; ties by point id. Long form: query id, rank, distance, point columns as p_*."""
+    before ranking; ties by point id. Long form: query id, rank, distance, point columns as p_*.
+    Queries and points without coordinates, or without a value of ``exclude``, take no part."""
     carry = carry or []
     s = axis_scale(points).first() if scaled else None
     sx, sy = (s.sx, s.sy) if s else (1.0, 1.0)
     ex = [exclude] if exclude else []
-    pts = points.where("x IS NOT NULL AND y IS NOT NULL").select(
+    there = " AND ".join(f"`{c}` IS NOT NULL" for c in ["x", "y", *ex])
+    pts = points.where(there).select(
         F.col(pid).alias("p_id"), *[F.col(e).alias(f"p_{e}") for e in ex], (F.col("x") / sx).alias("_x"), (F.col("y") / sy).alias("_y"), *[F.col(c).alias(f"p_{c}") for c in carry]
     )
     # of points at one place and of one group only the first k can ever be needed
     spot = W.partitionBy("_x", "_y", *[f"p_{e}" for e in ex]).orderBy("p_id")
     pts = staged(pts.withColumn("_r", F.row_number().over(spot)).where(F.col("_r") <= k).drop("_r"))
-    left = staged(queries.where("x IS NOT NULL AND y IS NOT NULL").select(F.col(qid).alias("q_id"), *ex, (F.col("x") / sx).alias("q_x"), (F.col("y") / sy).alias("q_y")))
-    ends = pts.select("_x", "_y").union(left.select("q_x", "q_y")).agg(F.min("_x").alias("x0"), F.min("_y").alias("y0"), F.max("_x").alias("x1"), F.max("_y").alias("y1")).first()
-    x0, y0, extent = (0.0, 0.0, 1.0) if ends.x0 is None else (ends.x0, ends.y0, max(ends.x1 - ends.x0, ends.y1 - ends.y0, 1e-9) * 1.0001)
-    fine = extent / 2**FINEST
-    start = _start_level(pts, x0, y0, fine, crowd)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    found: DataFrame | None = None
-    for level in range(start, FINEST + 1):
-        size = fine * 2**level
-        q = left.withColumn("_o", F.explode(around)).select(
-            "*", (F.floor((F.col("q_x") - x0) / size) + F.col("_o")["i"]).alias("cx"), (F.floor((F.col("q_y") - y0) / size) + F.col("_o")["j"]).alias("cy")
-        ).drop("_o")
-        p = pts.withColumns({"cx": F.floor((F.col("_x") - x0) / size), "cy": F.floor((F.col("_y") - y0) / size)})
-        pairs = q.join(p, ["cx", "cy"])
-        for e in ex:
-            pairs = pairs.where(F.col(e) != F.col(f"p_{e}"))
-        pairs = pairs.withColumn("dist", F.sqrt((F.col("q_x") - F.col("_x")) ** 2 + (F.col("q_y") - F.col("_y")) ** 2))
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("dist", "p_id"))).where(F.col("rank") <= k)
-        whole = W.partitionBy("q_id")
-        done = F.lit(True) if level == FINEST else (F.count("*").over(whole) == k) & (F.max("dist").over(whole) <= size)
-        hits = ranked.withColumn("_done", done).where("_done")
-        hits = staged(hits.select("q_id", "rank", "dist", "p_id", *[f"p_{e}" for e in ex], *[f"p_{c}" for c in carry], "_x", "_y", "q_x", "q_y"))
-        found = hits if found is None else found.unionByName(hits)
-        if level < FINEST:
-            left = staged(left.join(hits.where("rank = 1").select("q_id"), "q_id", "left_anti"))
-            if left.isEmpty():
-                break
-    return found.withColumnRenamed("q_id", qid)
+    asked = queries.where(there).select(F.col(qid).alias("q_id"), *ex, (F.col("x") / sx).alias("q_x"), (F.col("y") / sy).alias("q_y"))
+    pairs = near_pairs(asked, pts, k, exclude, crowd)
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("dist", "p_id"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("q_id").alias(qid), "rank", "dist", "p_id", *[f"p_{e}" for e in ex], *[f"p_{c}" for c in carry], "_x", "_y", "q_x", "q_y")
 
 
 def idw_predict(near: DataFrame, values: list[str], means: DataFrame | None = None, ids: DataFrame | None = None, qid: str = "id", floor: float = 1e-3, spread: bool = False) -> DataFrame:

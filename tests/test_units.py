@@ -127,6 +127,53 @@ def test_knn_equals_brute_force_with_a_crowded_place(spark):
         np.testing.assert_allclose(p["dist"], np.sort(d)[:4], atol=1e-12)
 
 
+def nearest(pdf, k):
+    out = []
+    for r in pdf.itertuples():
+        other = pdf[pdf.grp != r.grp]
+        d = np.hypot(other.x - r.x, other.y - r.y).to_numpy()
+        order = np.lexsort((other.id, d))[:k]
+        out += [(r.id, i + 1, int(other.id.iloc[j]), f"{d[j]:.9g}") for i, j in enumerate(order)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["tight groups", "far outlier", "one crowded group", "one line"])
+def test_knn_pairs_stay_bounded(spark, kind, monkeypatch):
+    """Wherever the points lie, a query meets the points of a few tiles, and the result is that of all pairs."""
+    monkeypatch.setattr(spatial, "TOP", 4)  # several levels on few points
+    monkeypatch.setattr(spatial, "FAN", 1)
+    rng = np.random.default_rng(8)
+    n, k, crowd = 1500, 4, 8
+    x, y, grp = rng.normal(0, 1, n), rng.normal(0, 1, n), rng.integers(0, 30, n)
+    if kind == "tight groups":  # each within a millionth of the extent
+        cx, cy = rng.uniform(-1, 1, 30), rng.uniform(-1, 1, 30)
+        x, y = cx[grp] + rng.normal(0, 1e-6, n), cy[grp] + rng.normal(0, 1e-6, n)
+    elif kind == "far outlier":
+        x[0], y[0] = 1e9, -1e9
+    elif kind == "one crowded group":  # a third of all, and in the midst of the others
+        grp[: n // 3], x[: n // 3], y[: n // 3] = 99, x[: n // 3] * 1e-3, y[: n // 3] * 1e-3
+    else:
+        y[:] = 2.0
+    pdf = pd.DataFrame({"id": np.arange(n), "grp": grp, "x": x, "y": y})
+    df = spark.createDataFrame(pdf)
+    got = spatial.knn(df, df, k, scaled=False, crowd=crowd).toPandas()
+    assert sorted(zip(got.id, got["rank"], got.p_id, (f"{d:.9g}" for d in got.dist))) == sorted(nearest(pdf, k))
+    asked = df.select(F.col("id").alias("q_id"), "grp", F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+    points = df.select(F.col("id").alias("p_id"), F.col("grp").alias("p_grp"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    per = spatial.near_pairs(asked, points, k, "grp", crowd).groupBy("q_id").count().toPandas()["count"]
+    assert per.mean() < 12 * crowd and per.max() < n / 5
+
+
+def test_knn_leaves_out_what_has_no_place(spark):
+    pdf = pd.DataFrame({"id": [1, 2, 3, 4, 5], "grp": [0.0, 1.0, np.nan, 1.0, 2.0], "x": [0.0, 1.0, 0.5, np.nan, 9.0], "y": [0.0] * 5})
+    df = spark.createDataFrame(pdf).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("grp", "x")})
+    got = spatial.knn(df, df, 2, scaled=False).collect()
+    assert sorted((r.id, r.rank, r.p_id) for r in got) == [(1, 1, 2), (1, 2, 5), (2, 1, 1), (2, 2, 5), (5, 1, 2), (5, 2, 1)]
+    assert spatial.knn(df.where("id < 0"), df, 2, scaled=False).count() == spatial.knn(df, df.where("id < 0"), 2, scaled=False).count() == 0
+    free = spatial.knn(df, df, 1, exclude=None, scaled=False).collect()
+    assert sorted((r.id, r.p_id) for r in free) == [(1, 1), (2, 2), (3, 3), (5, 5)]
+
+
 def test_knn_with_fewer_than_k_points(spark):
     pdf = pd.DataFrame({"id": [1, 2, 3], "grp": [0, 1, 1], "x": [0.0, 1.0, 5.0], "y": [0.0, 0.0, 0.0]})
     got = spatial.knn(spark.createDataFrame(pdf), spark.createDataFrame(pdf), 5, scaled=False).toPandas()
