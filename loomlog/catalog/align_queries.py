@@ -102,12 +102,12 @@ def tail_start(s, d):
     return prefix.linear_prior(seq_log(s, d)).where("tvt_input IS NULL").select(*ID, "md", "tvt", "last_tvt", "ps_md")
 
 
-query("st_slope_clip", lambda s, d: st.drain(st.st_slope_clip(st.as_stream(tail_start(s, d)), "tvt", "last_tvt", "ps_md", 0.05)).drop("late"))
-ORACLES["st_slope_clip"] = ORACLES["causal_slope_clip"]  # the stream must give what the batch gives
-query("st_trailing", lambda s, d: st.drain(st.st_trailing(st.as_stream(seq_log(s, d).select(*ID, "md", "gr", "tvt_input")), "gr", 25)).drop("late"),
+query("st_slope_clip", lambda s, d: st.drain(st.st_slope_clip(st.as_stream(tail_start(s, d)), "tvt", "last_tvt", "ps_md", 0.05)))
+ORACLES["st_slope_clip"] = ORACLES["causal_slope_clip"].replace("y AS limited", "y AS limited, 0 AS late")  # the stream must give what the batch gives
+query("st_trailing", lambda s, d: st.drain(st.st_trailing(st.as_stream(seq_log(s, d).select(*ID, "md", "gr", "tvt_input")), "gr", 25)),
       """SELECT well_id, row_idx, CASE WHEN count(gr) OVER w >= 5 THEN avg(gr) OVER w END AS t_mean, CASE WHEN count(gr) OVER w >= 5 THEN stddev_samp(gr) OVER w ELSE 0 END AS t_std,
       CASE WHEN count(gr) OVER w >= 5 THEN min(gr) OVER w END AS t_min, CASE WHEN count(gr) OVER w >= 5 THEN max(gr) OVER w END AS t_max,
-      last_value(tvt_input IGNORE NULLS) OVER (PARTITION BY well_id ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS last_tvt
+      last_value(tvt_input IGNORE NULLS) OVER (PARTITION BY well_id ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS last_tvt, 0 AS late
       FROM seq_log WINDOW w AS (PARTITION BY well_id ORDER BY row_idx ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)""", ctes=SEQ_CTE, floats="t_mean t_std t_min t_max last_tvt")
 
 
@@ -118,8 +118,8 @@ def gap_events(s, d):
 query("st_gap_monitor", lambda s, d: st.drain(st.st_gap_monitor(st.as_stream(gap_events(s, d)), "gr")),
       """SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS well_id, (epoch_us(ts) // 86400000000) * 86400000000 AS start_us, count(*) AS rows, count(*) FILTER (event_id % 11 = 0) AS missing,
       count(*) FILTER (event_id % 11 = 0) / count(*) AS missing_rate FROM events GROUP BY 1, 2) WHERE start_us + 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""", floats="missing_rate")
-query("st_gap_runs", lambda s, d: st.drain(st.st_gap_runs(st.as_stream(seq_log(s, d).select(*ID, "md", "gr")), "gr")).drop("late"),
-      """SELECT well_id, row_idx, row_idx - coalesce(max(CASE WHEN gr IS NOT NULL THEN row_idx END) OVER (PARTITION BY well_id ORDER BY row_idx), -1) AS run_length FROM seq_log""", ctes=SEQ_CTE)
+query("st_gap_runs", lambda s, d: st.drain(st.st_gap_runs(st.as_stream(seq_log(s, d).select(*ID, "md", "gr")), "gr")),
+      """SELECT well_id, row_idx, row_idx - coalesce(max(CASE WHEN gr IS NOT NULL THEN row_idx END) OVER (PARTITION BY well_id ORDER BY row_idx), -1) AS run_length, 0 AS late FROM seq_log""", ctes=SEQ_CTE)
 
 # ---- compositions ----
 

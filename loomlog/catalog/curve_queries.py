@@ -144,8 +144,17 @@ query("candidate_path_scores", lambda s, d: paths(s, d)[0].select(*ID, "endpoint
       FROM (SELECT *, o AS endpoint FROM {interp(_path_rows)}) JOIN marks USING (well_id) GROUP BY 1, 2, 3""",
       ctes=BOUND_CTE, floats="endpoint diff absdiff nearest")
 
-query("contact_reconstruction", lambda s, d: op.contact_reconstruction(seq_log(s, d), ref_curve(s, d), "y", "view").select(*ID, "ref_tvt", "contact_tvt"),
-      """SELECT well_id, row_idx, ref_tvt, raw + avg(tvt_input - raw) OVER (PARTITION BY well_id) AS contact_tvt FROM (
-      SELECT *, ref_tvt - (z - y) AS raw FROM seq_log JOIN (SELECT well_id, coalesce(min(tvt) FILTER (geology = 'view'), min(tvt) FILTER (geology IS NOT NULL)) AS ref_tvt
-        FROM ref_curve GROUP BY 1) USING (well_id))""",
+SURFACES = {"view": "y", "click": "x", "purchase": "md"}
+
+
+def partly_named(s, d):
+    """Every third curve has no ``view``, so its first label stands in."""
+    return ref_curve(s, d).where((F.col("geology") != "view") | (F.col("well_id").cast("long") % 3 != 0))
+
+
+query("contact_reconstruction", lambda s, d: op.contact_reconstruction(seq_log(s, d), partly_named(s, d), SURFACES, "view").select(*ID, "ref_tvt", "contact_tvt"),
+      """SELECT well_id, row_idx, ref_tvt, raw + coalesce(avg(tvt_input - raw) OVER (PARTITION BY well_id), 0) AS contact_tvt FROM (
+      SELECT *, ref_tvt - (z - CASE label WHEN 'view' THEN y WHEN 'click' THEN x WHEN 'purchase' THEN md END) AS raw FROM seq_log JOIN (
+        SELECT well_id, coalesce(min(tvt) FILTER (geology = 'view'), min(tvt)) AS ref_tvt, CASE WHEN bool_or(geology = 'view') THEN 'view' ELSE arg_min(geology, tvt) END AS label
+        FROM ref_curve WHERE geology <> 'view' OR CAST(well_id AS BIGINT) % 3 <> 0 GROUP BY 1) USING (well_id))""",
       ctes=CURVE_CTE, floats="ref_tvt contact_tvt")

@@ -252,14 +252,15 @@ def candidate_paths(rows: DataFrame, curve: DataFrame, boundaries: DataFrame, st
     return long.drop("_rank"), _best_of(long, list(ids), "endpoint", F.abs(diff), score_scale)
 
 
-def contact_reconstruction(rows: DataFrame, curve: DataFrame, surface: str, label: str, x: str = "tvt", key: str = "well_id") -> DataFrame:
-    """Target rebuilt from a surface: reference position of ``label`` on the curve (of the curve's first
-    label, going by ``x``, if it is missing), minus height over the surface, plus the mean offset
-    to the known target."""
-    ref = curve.groupBy(key).agg(
-        F.min(F.when(F.col("geology") == label, F.col(x))).alias("_hit"),
-        F.min(F.when(F.col("geology").isNotNull(), F.col(x))).alias("_first"),
-    ).select(key, F.coalesce("_hit", "_first").alias("ref_tvt"))
-    raw = rows.join(ref, key).withColumn("_raw", F.col("ref_tvt") - (F.col("z") - F.col(surface)))
+def contact_reconstruction(rows: DataFrame, curve: DataFrame, surfaces: dict[str, str] | str, label: str, x: str = "tvt", key: str = "well_id") -> DataFrame:
+    """Target rebuilt from a surface: reference position of ``label`` on the curve, minus height over the label's surface, plus the
+    mean offset to the known target. A curve without ``label`` takes its first label, going by ``x``, with that label's
+    position and surface. ``surfaces`` names a column of ``rows`` for every label; a label without one gives NULL.
+    One column name in place of the dict serves all labels."""
+    named = curve.where(F.col("geology").isNotNull())
+    hit = F.min(F.when(F.col("geology") == label, F.col(x)))
+    ref = named.groupBy(key).agg(F.coalesce(hit, F.min(x)).alias("ref_tvt"), F.when(hit.isNotNull(), F.lit(label)).otherwise(F.min_by("geology", x)).alias("_label"))
+    height = F.col(surfaces) if isinstance(surfaces, str) else F.coalesce(*[F.when(F.col("_label") == name, F.col(c)) for name, c in surfaces.items()])
+    raw = rows.join(ref, key).withColumn("_raw", F.col("ref_tvt") - (F.col("z") - height))
     shift = raw.groupBy(key).agg(F.avg(F.col("tvt_input") - F.col("_raw")).alias("_shift"))
-    return raw.join(shift, key).withColumn("contact_tvt", F.col("_raw") + F.coalesce(F.col("_shift"), F.lit(0.0))).drop("_raw", "_shift")
+    return raw.join(shift, key).withColumn("contact_tvt", F.col("_raw") + F.coalesce(F.col("_shift"), F.lit(0.0))).drop("_raw", "_shift", "_label")

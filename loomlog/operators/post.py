@@ -77,7 +77,9 @@ def slope_quantiles(df: DataFrame, probs=SLOPE_PROBS, seq: Seq = SEQ) -> DataFra
 def causal_slope_clip(df: DataFrame, value: str, start: str, start_md: str, limit: float, md: str = "md", out: str = "limited", seq: Seq = SEQ) -> DataFrame:
     """Each value may leave the limited value before it by at most ``limit`` per md. The
     recursion keeps two numbers per key and reads the sorted rows batch by batch, so no key
-    is ever held in memory as a whole."""
+    is ever held in memory as a whole. A limit of 0 or less turns the clip off."""
+    if limit <= 0:
+        return df.withColumn(out, F.col(value).cast("double"))
     cols = list(df.columns)
     schema = df.schema.add(out, "double")
     key = seq.key

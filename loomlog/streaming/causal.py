@@ -1,5 +1,6 @@
 """Causal operators as streams: they use only rows up to the current one, so they can run
-on logs that are still being written. State is small and kept per key."""
+on logs that are still being written. State is small and kept per key. Rows that come late (before the
+key's last (md, row)) are in the result with NULL values and ``late`` counted up, so none is lost without a trace."""
 
 from __future__ import annotations
 
@@ -19,8 +20,8 @@ def _in_order(batches: Iterator[pd.DataFrame], md: str, row: str) -> pd.DataFram
 
 
 def st_slope_clip(stream: DataFrame, value: str, start: str, start_md: str, limit: float, key: str = "well_id", md: str = "md", row: str = "row_idx") -> DataFrame:
-    """Streaming form of ``causal_slope_clip``. Rows before the key's last (md, row) are late:
-    they are dropped and counted (``late`` is the count so far); rows of equal md are kept."""
+    """Streaming form of ``causal_slope_clip``. Rows before the key's last (md, row) are late: they come out with a NULL value and
+    are counted (``late`` is the count so far); rows of equal md are kept."""
 
     def run(k, batches, state):
         prev, prev_md, prev_row, late = state.get if state.exists else (None, None, None, 0)
@@ -31,8 +32,9 @@ def st_slope_clip(stream: DataFrame, value: str, start: str, start_md: str, limi
                 prev, prev_md = float(s), float(s_md)
             elif (m, r) < (prev_md, prev_row):
                 late += 1
+                out.append((k[0], int(r), None, late))
                 continue
-            reach = limit * max(m - prev_md, 1e-6)
+            reach = limit * max(abs(m - prev_md), 1e-6)
             prev = float(min(max(x, prev - reach), prev + reach))
             prev_md, prev_row = float(m), int(r)
             out.append((k[0], int(r), prev, late))
@@ -56,6 +58,7 @@ def st_trailing(stream: DataFrame, value: str, window: int = 25, key: str = "wel
         for _, r in _in_order(batches, md, row).iterrows():
             if seen is not None and (r[md], r[row]) < (seen, seen_row):
                 late += 1
+                out.append((k[0], int(r[row]), *[None] * 5, late))
                 continue
             seen, seen_row = float(r[md]), int(r[row])
             ring.append(float(r[value]) if pd.notna(r[value]) else None)
@@ -89,12 +92,13 @@ def st_gap_runs(stream: DataFrame, value: str, key: str = "well_id", md: str = "
         for _, r in _in_order(batches, md, row).iterrows():
             if seen is not None and (r[md], r[row]) < (seen, seen_row):
                 late += 1
+                out.append((k[0], int(r[row]), None, late))
                 continue
             seen, seen_row = float(r[md]), int(r[row])
             length = length + 1 if pd.isna(r[value]) else 0
             out.append((k[0], int(r[row]), length, late))
         state.update((length, seen, seen_row, late))
-        yield pd.DataFrame(out, columns=[key, row, "run_length", "late"])
+        yield pd.DataFrame(out, columns=[key, row, "run_length", "late"]).astype({"run_length": "Int64"})
 
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} string, {row} bigint, run_length bigint, late bigint", "length bigint, seen double, seen_row bigint, late bigint", "append", "NoTimeout")
 

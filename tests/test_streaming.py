@@ -26,7 +26,7 @@ def test_slope_clip_in_batches(spark, tmp_path):
     assert got["late"].max() == 0
 
 
-def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+def test_late_rows_come_out_empty_and_counted(spark, tmp_path):
     schema = "well_id string, row_idx bigint, md double, v double, s double, m double"
     path = str(tmp_path / "in")
     for part in ([("w", 0, 1.0, 5.0, 5.0, 0.0), ("w", 2, 3.0, 5.0, 5.0, 0.0)], [("w", 1, 2.0, 9.0, 5.0, 0.0), ("w", 3, 4.0, 5.0, 5.0, 0.0)]):
@@ -36,7 +36,7 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         time.sleep(1.1)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = st.drain(st.st_slope_clip(stream, "v", "s", "m", 1.0)).orderBy("row_idx").collect()
-    assert [(r.row_idx, r.limited, r.late) for r in got] == [(0, 5.0, 0), (2, 5.0, 0), (3, 5.0, 1)]
+    assert [(r.row_idx, r.limited, r.late) for r in got] == [(0, 5.0, 0), (1, None, 1), (2, 5.0, 0), (3, 5.0, 1)]
 
 
 def test_trailing_in_batches(spark, tmp_path):
@@ -57,9 +57,17 @@ def test_equal_times_are_kept_and_late_rows_counted(spark, tmp_path):
         spark.createDataFrame([("w", r, x, None, None, 5.0, 0.0) for r, x in part], schema).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    late = [(0, 0), (1, 0), (2, 0), (3, 1), (5, 1), (6, 1)]  # row 4 comes first in its batch
+    late = [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1)]  # row 4 comes first in its batch
     runs = sorted((r.row_idx, r.late, r.run_length) for r in st.drain(st.st_gap_runs(stream, "gr")).collect())
-    assert runs == [(i, n, k + 1) for k, (i, n) in enumerate(late)]
+    assert runs == [(0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 1, 4), (4, 1, None), (5, 1, 5), (6, 1, 6)]
     assert sorted((r.row_idx, r.late) for r in st.drain(st.st_trailing(stream, "gr", 10)).collect()) == late
     clipped = st.drain(st.st_slope_clip(stream.withColumn("gr", F.lit(5.0)), "gr", "s", "m", 1.0)).collect()
-    assert sorted((r.row_idx, r.late) for r in clipped) == late
+    assert sorted((r.row_idx, r.late) for r in clipped) == late and [r.limited for r in sorted(clipped)].count(None) == 1
+
+
+def test_rows_before_the_start_and_no_limit(spark, tmp_path):
+    """A first row above its start reaches as far as one below it, as in the batch form; a limit of 0 changes nothing."""
+    rows = spark.createDataFrame([("w", i, 3.0 + i, 50.0, 5.0, 10.0) for i in range(4)], "well_id string, row_idx bigint, md double, v double, s double, m double")
+    got = [r.limited for r in st.drain(st.st_slope_clip(in_slices(spark, rows, 1, str(tmp_path / "in")), "v", "s", "m", 1.0)).orderBy("row_idx").collect()]
+    assert got == [r.limited for r in post.causal_slope_clip(rows, "v", "s", "m", 1.0).orderBy("row_idx").collect()] == [12.0, 13.0, 14.0, 15.0]
+    assert [r.limited for r in post.causal_slope_clip(rows, "v", "s", "m", 0.0).collect()] == [50.0] * 4
