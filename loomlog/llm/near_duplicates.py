@@ -134,17 +134,22 @@ def _row_hash():  # noqa: ANN202
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
+def _rows_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, asked_key) of the wanted (key, row). Rows are found by their hash, so those without an id, or with one id, don't meet each other."""
+    asked = wanted.select(F.col("row").alias("asked"), F.col("key").alias("asked_key"))
+    return df.withColumn("own", _row_hash()).join(asked, F.col("own") == F.col("asked")).select("text", "asked_key")
+
+
 def _sets_of(df: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(key, grams) of the wanted (key, doc_id), made anew from one text of each."""
-    asked = wanted.select(F.col("doc_id").alias("asked"), F.col("key").alias("asked_key"))
-    some = df.join(asked, F.col("doc_id").eqNullSafe(F.col("asked"))).select("text", "asked_key")
+    """(key, grams) of the wanted (key, row), made anew from one text of each."""
+    some = _rows_of(df, wanted)
 
     def run(batches):
         for whole in batches:
             for batch in T.portions(whole, "text"):
                 column = T.column(batch.column("text"))
                 found = sets(*column, n)
-                ours = np.flatnonzero(set_keys(found, *column) == batch.column("asked_key").to_numpy())  # a doc_id may come with several texts
+                ours = np.flatnonzero(set_keys(found, *column) == batch.column("asked_key").to_numpy())  # but for two rows of one hash
                 yield pa.RecordBatch.from_arrays([batch.column("asked_key").take(pa.array(ours)), pa.array([found[i].tobytes() for i in ours], pa.binary())], names=["key", "grams"])
 
     return some.mapInArrow(run, "key long, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
@@ -204,11 +209,11 @@ def _joined(df: DataFrame, similarity: float, recall: float, n: int) -> DataFram
     df = docs.texts(df)
     bands, rows = banding(similarity, recall)
     signed = staged(_signed(df, bands, rows, n))
-    texts = staged(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    texts = staged(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     buckets = again(texts).select(F.explode("bands").alias("bucket"), "key", "size")
     shared = staged(buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"))
     members = staged(buckets.join(shared, "bucket").select("bucket", "pivot", "key", "size"))
-    asked = members.select("key").distinct().join(again(texts).select("key", "doc_id"), "key")
+    asked = members.select("key").distinct().join(again(texts).select("key", "row"), "key")
     grams = staged(_sets_of(df, asked, n))
     # one pivot of each text, then the pivots of other components, then whatever else shares a bucket
     star = members.where("key <> pivot")
@@ -340,8 +345,11 @@ def keep_one(df: DataFrame) -> DataFrame:
     """
     joined = _joined(df, SIMILARITY, RECALL, NGRAM)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    kept = joined.groupBy("component").agg(first).select(F.col("first.row").alias("__row"))
-    return df.withColumn("__row", _row_hash()).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    kept = joined.groupBy("component").agg(first).select(F.col("first.row").alias("row"))
+    own = "row"
+    while own in df.columns:
+        own += "_"
+    return df.withColumn(own, _row_hash()).join(kept.withColumnRenamed("row", own), own, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def op4(spark: SparkSession, path: str) -> DataFrame:

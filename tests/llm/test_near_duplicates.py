@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import tables
+from pyspark.sql import functions as F
 from oracle_check import compare, connect
 
 from loomlog.llm import near_duplicates as M
@@ -96,6 +97,24 @@ def test_oddities(spark):
     assert M.join(tables.documents(spark, [])).count() == 0 and M.keep_one(tables.documents(spark, [])).count() == 0
 
 
+def test_a_third_without_an_id(spark):
+    """Such rows are found one by one: looking their texts up again makes as many rows as there are, and the links are those of rows with ids."""
+    rows = groups(random.Random(5))
+    gone = [(None if k % 3 == 0 else i, x) for k, (i, x) in enumerate(rows)]
+    links = [sorted(r.n_links for r in M.join(tables.documents(spark, own)).collect()) for own in (rows, gone)]
+    assert links[0] == links[1]
+    df = M.docs.texts(tables.documents(spark, gone))
+    wanted = df.select(M._row_hash().alias("row"), F.lit(1).alias("key")).distinct()
+    assert M._rows_of(df, wanted).count() == len(gone)
+
+
+def test_any_column_comes_along(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words")]
+    df = tables.documents(spark, rows).withColumns({c: F.lit("own") for c in ("row", "row_", "__row", "own", "asked")})
+    kept = M.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r["row"], r["__row"]) for r in kept.collect()) == [(1, "own", "own"), (3, "own", "own")]
+
+
 def test_query_equals_sql(spark):
     path = "/root/testdata/sf0.001"
     assert compare(M.op4(spark, path), connect(path), M.OP4_SQL).startswith("ok")
