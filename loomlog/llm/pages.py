@@ -1,9 +1,13 @@
 """Main text of web pages by two-pass block rules (operator 5).
 
 A page is read once from start to end into blocks of text. Each knows its length, the share of its characters inside links, the
-share of stop words among its words, and where it stands: inside an article, or inside something that is never main text (menus, forms,
+share of stop words among its words, and where it stands: inside an article, or inside something that is never main text (menus,
 scripts, adverts, comments ...). The first pass decides blocks by these; short ones that say too little stay open. The second pass gives an open
 block the label of its nearest decided neighbours.
+
+A form around an article, and a part of an article that is called like a notice or a share bar in one word of a longer name, may also hold the article itself. Such doubtful
+containers are weighed as a whole: one that holds an article element, or reads like main text (long, many stop words,
+few links), is left to the rules of its blocks; any other is never main text.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from loomlog.llm import text as T
 # Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "svg", "math", "object", "canvas", "audio", "video", "map", "datalist", "label"}
+NEVER = {"head", "nav", "footer", "aside", "button", "select", "option", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "datalist"}
+DOUBTFUL = {"form", "label", "map", "object"}
 ARTICLE = {"article", "main"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt",
@@ -41,6 +46,8 @@ MARKS = {
     "notice", "outbrain", "pagination", "popup", "privacy", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "widget", "complementary", "contentinfo",
 }
+#: Marks that may also name parts of an article when they are one word of a longer name (``share-content``, ``notice-board``).
+MILD_MARKS = {"banner", "disclaimer", "notice", "privacy", "promo", "promotion", "related", "search", "share", "sharing", "skip", "social", "toolbar", "widget"}
 #: An article's headings and paragraphs are its own, whatever they are called.
 TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: Marks that an article's own parts carry as well; they count outside articles only.
@@ -72,6 +79,7 @@ class Block:
     links: int  # characters inside links
     article: int  # number of the article it stands in, 0 for none
     never: bool
+    doubt: int = 0  # number of the innermost doubtful container it stands in, 0 for none
     label: bool | None = None
 
     def stops(self) -> float:
@@ -85,6 +93,7 @@ class _Open:
     article: int
     never: bool
     link: bool
+    doubt: int = 0
 
 
 @dataclass
@@ -96,6 +105,8 @@ class _Reader:
     parts: list[tuple[str, bool]] = field(default_factory=list)
     articles: int = 0
     breaks: int = 0
+    around: list[int] = field(default_factory=lambda: [0])  # for each doubtful container the one around it
+    whole: set[int] = field(default_factory=set)  # those that hold an article element
 
     def top(self) -> _Open:
         return self.stack[-1] if self.stack else _Open("", 0, False, False)
@@ -111,7 +122,7 @@ class _Reader:
         words = " ".join("".join(p for p, _ in self.parts).split())
         if words:
             links = sum(len(" ".join(p.split())) for p, link in self.parts if link)
-            self.blocks.append(Block(words, min(links, len(words)), self.top().article, self.top().never))
+            self.blocks.append(Block(words, min(links, len(words)), self.top().article, self.top().never, self.top().doubt))
         self.parts, self.breaks = [], 0
 
     def open(self, name: str, rest: str) -> None:
@@ -134,8 +145,17 @@ class _Reader:
         if name in ARTICLE and not article:
             self.articles += 1
             article = self.articles
-        never = above.never or name in NEVER or (name == "header" and not above.article) or (bool(rest.strip()) and _marked(rest, bool(above.article), name))
-        self.stack.append(_Open(name, article, never, above.link or name == "a"))
+            holder = above.doubt
+            while holder:
+                self.whole.add(holder)
+                holder = self.around[holder]
+        mark = _marked(rest, bool(above.article), name) if rest.strip() else 0
+        never = above.never or name in NEVER or mark == _CERTAIN or (name == "form" if above.article else name == "header")
+        doubt = above.doubt
+        if not never and (name in DOUBTFUL or mark == _MILD):
+            self.around.append(doubt)
+            doubt = len(self.around) - 1
+        self.stack.append(_Open(name, article, never, above.link or name == "a", doubt))
 
     def leave(self, names: set[str], limits: set[str]) -> None:
         """Close the innermost of ``names``, with all it holds, unless one of ``limits`` comes first."""
@@ -157,21 +177,29 @@ class _Reader:
                 return  # an inline end tag closes nothing beyond its block
 
 
-def _marked(rest: str, in_article: bool, name: str) -> bool:
+_MILD, _CERTAIN = 1, 2
+
+
+def _marked(rest: str, in_article: bool, name: str) -> int:
+    """Whether attributes mark an element as no main text: certainly, mildly (inside an article, by one word of a longer name), or not."""
     if name in ("body", "html"):
-        return False
+        return 0
     own: dict[str, str] = {}
     for attribute, value in _ATTRIBUTE.findall(rest):
         own.setdefault(attribute.lower(), value.strip("\"'").lower())
     if "hidden" in own or own.get("aria-hidden") == "true":
-        return True
+        return _CERTAIN
     if in_article and name in TEXT:
-        return False
+        return 0
+    mild = 0
     for attribute in ("class", "role") if in_article else ("class", "id", "role"):
         found = set(re.split(r"[^a-z]+", own.get(attribute, "")))
-        if found & MARKS or (found & OUTER_MARKS and not in_article and "content" not in found):
-            return True
-    return False
+        hits = found & MARKS
+        if hits and in_article and hits <= MILD_MARKS and not hits & set(own[attribute].split()):
+            mild = _MILD
+        elif hits or (found & OUTER_MARKS and not in_article and "content" not in found):
+            return _CERTAIN
+    return mild
 
 
 def blocks(page: str) -> list[Block]:
@@ -197,9 +225,33 @@ def blocks(page: str) -> list[Block]:
             else:
                 reader.open(name, found["rest"])
     reader.cut()
+    _weigh(reader)
     return reader.blocks
 
 
+def _weigh(reader: _Reader) -> None:
+    """Blocks of doubtful containers that don't read like main text are never such."""
+    n = len(reader.around)
+    size, links, words, stops = ([0] * n for _ in range(4))
+    for b in reader.blocks:
+        holder = b.doubt
+        if holder and not b.never:
+            found = _WORD.findall(b.text.lower())
+            hits = sum(w in STOP_WORDS for w in found)
+            while holder:
+                size[holder] += len(b.text)
+                links[holder] += b.links
+                words[holder] += len(found)
+                stops[holder] += hits
+                holder = reader.around[holder]
+    kept = [True] * n
+    for c in range(1, n):  # a container comes after the one around it
+        reads = size[c] > LONG and links[c] <= MANY_LINKS * size[c] and stops[c] >= MANY_STOPS * max(words[c], 1)
+        kept[c] = kept[reader.around[c]] and (c in reader.whole or reads)
+    for b in reader.blocks:
+        b.never = b.never or not kept[b.doubt]
+
+
 def _decide(b: Block) -> bool | None:
     """First pass: True for main text, False for none, None for open."""
     n, links = len(b.text), b.links / len(b.text)

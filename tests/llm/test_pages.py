@@ -67,3 +67,32 @@ def test_marked_elements_go(attributes):
 def test_ids_inside_an_article_are_its_own():
     page = f'<article><h2 id="related-work" class="share">Related work</h2><p>{STORY}</p><section id="privacy"><p id="search-results" class="notice">{MORE}</p></section><div class="comments">{MORE}</div></article>'
     assert M.main_text(page) == f"Related work\n{STORY}\n{MORE}"
+
+
+PROSE = "The council of the town met on Monday and it was agreed that the bridge should be mended before the winter, as many of the people who live on the other side of the river have no other way to work. " * 2
+PROSE = PROSE.strip()
+
+
+def test_forms_and_long_names_are_weighed():
+    """What a doubtful container holds decides: prose and articles stay, boxes, buttons and reader comments go."""
+    assert M.main_text(f'<body><form id="aspnetForm"><div><p>{PROSE}</p><p>{PROSE}</p></div><input></form></body>') == f"{PROSE}\n{PROSE}"
+    assert M.main_text(f"<form><article><h2>A bridge</h2><p>{PROSE}</p></article></form>") == f"A bridge\n{PROSE}"
+    for inside in (f'<div class="share-content"><p>{PROSE}</p></div>', f'<ul class="search-results-list"><li>{PROSE}</li></ul>', f'<div class="notice-board"><p>{PROSE}</p></div>', f"<object><p>{PROSE}</p></object>", f"<label>{PROSE}</label>"):
+        assert M.main_text(f"<article><p>{PROSE}</p>{inside}</article>") == f"{PROSE}\n{PROSE}"
+    for inside in (
+        '<div class="share">Share this with all of the people who are on it</div>', '<div class="share-buttons"><a href="x">Tweet</a> <a href="y">Post</a></div>',
+        "<form><label>Your mail</label><input><button>Go</button></form>", f'<div class="comment-list"><p>{PROSE}</p></div>', f'<div class="notice">{PROSE}</div>',
+        f'<form><div class="comments">{PROSE}</div></form>', f"<form><p>{PROSE}</p></form>", f'<div class="related-links"><a href="x">{PROSE}</a></div>', f"<form hidden>{PROSE}</form>",
+    ):
+        assert M.main_text(f"<article><p>{PROSE}</p>{inside}</article>") == PROSE, inside
+    # a container inside a doubtful one stands only if both do
+    assert M.main_text(f'<article><p>{PROSE}</p><form><div class="share-box">Post it on the wall</div></form></article>') == PROSE
+    assert M.main_text(f'<form><p>{PROSE}</p><article><div class="notice-board"><p>{PROSE}</p></div></article></form>') == f"{PROSE}\n{PROSE}"
+
+
+def test_open_blocks_between_equally_near_neighbours():
+    """On a tie the block before decides."""
+    short = "Two words"
+    page = f"<p>{PROSE}</p><p>{short}</p><p>{'qqq xyz ' * 30}</p>"
+    assert M.main_text(page) == f"{PROSE}\n{short}"
+    assert M.main_text(f"<p>{'qqq xyz ' * 30}</p><p>{short}</p><p>{PROSE}</p>") == PROSE
