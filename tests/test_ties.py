@@ -43,3 +43,16 @@ def test_audit_names_each_key_s_own_copy_alone(spark):
     audit = gated(spark, "/root/testdata/sf0.1")[1]
     assert audit.where(F.col("donor") != F.concat("well_id", F.lit("_c"))).count() == 0
     assert audit.count() == 700
+
+
+def test_a_crowd_of_equal_copies_adds_one_pair_per_key(spark):
+    def log(keys, shift):
+        return spark.createDataFrame([(k, i, float(i), float(i), 50.0 + i, -1.0, 1000.0 + i + shift, 1000.0 + i + shift if i < 60 else None) for k in keys for i in range(100)],
+                                     "well_id string, row_idx long, md double, x double, gr double, z double, tvt double, tvt_input double").withColumn("pred", F.lit(0.0))
+
+    donors = log(["c3", "c1", "c2"], 0.0).unionByName(log(["b1"], 0.01))
+    pairs = spark.createDataFrame([(k, d) for k in ("a", "b") for d in ("c3", "c1", "c2", "b1")], "key string, donor string")
+    few = transfer.first_of_alike(pairs, donors)
+    assert sorted(tuple(r) for r in few.collect()) == [("a", "b1"), ("a", "c1"), ("b", "b1"), ("b", "c1")]
+    all_, short = (transfer.gated_transfer(transfer.copied_rows(log(["a", "b"], 0.0), donors, p), "pred")[0].select("well_id", "row_idx", "donor", "new_pred") for p in (pairs, few))
+    assert sorted(map(tuple, all_.collect())) == sorted(map(tuple, short.collect()))
