@@ -74,13 +74,19 @@ def folder(s) -> str:
     return f"{stage_dir(s).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def one_file_each(df, by: str, path: str) -> None:
+    """CSV, a folder and a file per value of ``by``; tasks move their files themselves, as there are as many as logs."""
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism  # the work is in the files, however small they are
+    df.repartition(tasks, by).write.partitionBy(by).option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path)
+
+
 def csv_logs(s, d):
     """The logs as CSV, one folder per log named like its file, below train and test."""
     root = folder(s)
     log = seq_log(s, d).select(F.concat("well_id", F.lit("__horizontal_well.csv")).alias("log"), F.col("md").alias("MD"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"),
                                F.col("gr").alias("GR"), F.col("tvt").alias("TVT"), F.col("tvt_input").alias("TVT_input"))
     for split, cond in (("train", "Y % 3 <> 0"), ("test", "Y % 3 = 0")):
-        log.where(cond).repartition(4, "log").write.partitionBy("log").option("header", True).csv(f"{root}/{split}")
+        one_file_each(log.where(cond), "log", f"{root}/{split}")
     return io.scan_logs(s, root, glob="part-*.csv", name=r"log=([^/]+?)__horizontal_well\.csv/")
 
 
@@ -88,7 +94,7 @@ def csv_curves(s, d):
     root = folder(s)
     name = F.concat("well_id", F.lit("__typewell"), F.when(F.col("well_id").cast("bigint") % 2 == 0, F.concat(F.lit("__c"), "well_id")).otherwise(""), F.lit(".csv"))
     curve = ref_curve(s, d).select(name.alias("curve"), F.col("tvt").alias("TVT"), F.col("gr").alias("GR"), F.col("geology").alias("Geology"))
-    curve.repartition(4, "curve").write.partitionBy("curve").option("header", True).csv(f"{root}/train")
+    one_file_each(curve, "curve", f"{root}/train")
     return io.scan_curves(s, root, glob="part-*.csv", name=r"curve=([^/]+?)__typewell(?:__([^/]+?))?\.csv/")
 
 

@@ -56,3 +56,13 @@ def test_a_crowd_of_equal_copies_adds_one_pair_per_key(spark):
     assert sorted(tuple(r) for r in few.collect()) == [("a", "b1"), ("a", "c1"), ("b", "b1"), ("b", "c1")]
     all_, short = (transfer.gated_transfer(transfer.copied_rows(log(["a", "b"], 0.0), donors, p), "pred")[0].select("well_id", "row_idx", "donor", "new_pred") for p in (pairs, few))
     assert sorted(map(tuple, all_.collect())) == sorted(map(tuple, short.collect()))
+
+
+def test_log_files_are_read_once(spark, tmp_path):
+    from loomlog.sources import files
+
+    for name, md in (("a", [2.0, 1.0]), ("b", [5.0])):
+        (tmp_path / f"{name}__horizontal_well.csv").write_text("MD,X,Y,Z,GR,TVT,TVT_input\n" + "".join(f"{m},0,0,0,1,2,3\n" for m in md))
+    got = files.scan_logs(spark, str(tmp_path))
+    assert sorted((r.well_id, r.md, r.row_idx) for r in got.collect()) == [("a", 1.0, 0), ("a", 2.0, 1), ("b", 5.0, 0)]
+    assert "csv" not in got._jdf.queryExecution().executedPlan().toString().lower()  # the numbering reads a written table
