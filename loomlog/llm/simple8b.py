@@ -42,12 +42,18 @@ def _choose(values: np.ndarray) -> np.ndarray:
     flat[: len(values)] = _bits(values)
     bits[:, :BLOCK] = flat.reshape(n_blocks, BLOCK)
     chosen = np.zeros((n_blocks, BLOCK), np.uint8)
-    run, reach = bits.copy(), 1
+    run, reach, blocks = bits.copy(), 1, np.arange(n_blocks)
     for selector in range(len(COUNTS) - 1, 0, -1):  # from one integer a word to sixty
         while reach < COUNTS[selector]:
             np.maximum(run[:, :-reach], bits[:, reach:], out=run[:, :-reach])
             reach += 1
-        chosen[run[:, :BLOCK] <= WIDTHS[selector]] = selector
+        fits = run[:, :BLOCK] <= WIDTHS[selector]
+        some = fits.any(axis=1)
+        if not some.all():  # a block that takes no word of this kind takes none that holds more
+            bits, run, blocks, fits = bits[some], run[some], blocks[some], fits[some]
+        part = chosen[blocks]
+        part[fits] = selector
+        chosen[blocks] = part
     return chosen.reshape(-1)[: len(values)]
 
 

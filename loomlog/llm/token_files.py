@@ -16,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
@@ -43,6 +44,7 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b"\n!\"#$%&()*,./:;<=>?@[]_|")] = True  # no letter, no number, and never inside a match that began with letters
 _NO_WIDE_HEAD = np.ones(256, bool)
 _NO_WIDE_HEAD[list(_WIDE_BLANK_HEADS)] = False
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 
 
 def tokenizer_path() -> str:
@@ -124,13 +126,10 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray
     n = len(offsets) - 1
     starts, ends, rows = piece_spans(data, offsets)
     hashes = T.span_hashes(data, starts, ends)
-    order = np.argsort(hashes)
-    sorted_hashes = hashes[order]
     lengths, raw = ends - starts, data.tobytes()
-    fresh = np.append(True, sorted_hashes[1:] != sorted_hashes[:-1]) if len(order) else np.zeros(0, bool)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(fresh) - 1
-    first = order[fresh]
+    group, distinct = pd.factorize(hashes)
+    first = np.empty(len(distinct), np.int64)
+    first[group[::-1]] = np.arange(len(group))[::-1]
     if len(starts) and not _same_bytes(data, starts, lengths, first[group]):
         first, group = np.arange(len(starts)), np.arange(len(starts))  # two pieces of one hash: take each by itself
     coded = Pieces.of(path).ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
@@ -150,10 +149,14 @@ def _same_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like:
     """Whether each piece equals the piece that stands for its hash."""
     if (lengths != lengths[like]).any():
         return False
-    for i in range(0, len(starts), 1 << 18):
-        part = slice(i, i + (1 << 18))
-        if (data[T.ragged(starts[part], lengths[part])] != data[T.ragged(starts[like[part]], lengths[part])]).any():
+    eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))  # the eight bytes from each place on
+    others = np.flatnonzero(like != np.arange(len(starts)))
+    left, mine, own = lengths[others], starts[others], starts[like[others]]
+    while len(left):
+        if ((eight[mine] ^ eight[own]) & _FIRST[np.minimum(left, 8)]).any():
             return False
+        more = left > 8
+        left, mine, own = left[more] - 8, mine[more] + 8, own[more] + 8
     return True
 
 
