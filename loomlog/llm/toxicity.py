@@ -124,18 +124,27 @@ class Index:
         best = np.zeros((q.n, k), np.float32)
         who = np.full((q.n, k), size, np.int64)
         edges = np.searchsorted(q.rows, np.arange(q.n + 1))
+        step = 64  # texts whose common terms are multiplied at once
         for r in range(q.n if size else 0):
             own = slice(edges[r], edges[r + 1])
-            found = self._cosines(q.numbers[own], q.values[own], k, None if skip is None else int(skip[r]))
+            if r % step == 0:
+                some = slice(edges[r], edges[min(r + step, q.n)])
+                row = self.common[q.numbers[some]]
+                of_common = np.zeros((min(step, q.n - r), len(self.full)), np.float32)
+                of_common[q.rows[some][row >= 0] - r, row[row >= 0]] = q.values[some][row >= 0]
+                dense = of_common @ self.full.reshape(len(self.full), self.full.shape[1] * PER_BLOCK)
+            found = self._cosines(q.numbers[own], q.values[own], dense[r % step], k, None if skip is None else int(skip[r]))
             least = np.partition(found, size - k)[size - k]
             near = np.flatnonzero(found >= least)
             near = near[np.lexsort((near, -found[near]))[:k]]
             best[r], who[r] = np.maximum(found[near], 0), near
         return best, who
 
-    def _cosines(self, numbers: np.ndarray, values: np.ndarray, k: int, skip: int | None) -> np.ndarray:
-        """Cosine of a text to each example that can be among its ``k`` nearest, 0 for others and -1 for the one to skip."""
+    def _cosines(self, numbers: np.ndarray, values: np.ndarray, dense: np.ndarray, k: int, skip: int | None) -> np.ndarray:
+        """Cosine of a text to each example that can be among its ``k`` nearest, 0 for others and -1 for the one to skip.
+        ``dense``: what the common terms give to each example."""
         size, n_blocks = len(self.labels), self.full.shape[1]
+        dense = dense.reshape(n_blocks, PER_BLOCK)
         row = self.common[numbers]
         often, strength = row[row >= 0], values[row >= 0]
         numbers, values = numbers[row < 0], values[row < 0]
@@ -150,8 +159,7 @@ class Index:
             counts = self.run_starts[runs[some] + 1] - starts
             at = T.ragged(starts, counts)
             out.reshape(-1)[:] += np.bincount(self.example[at], self.weight[at] * np.repeat(share[some], counts), out.size)
-            if len(often) and len(which):
-                out[which] += (strength @ self.full[often[:, None], which[None, :]].reshape(len(often), -1)).reshape(-1, PER_BLOCK)
+            out[which] += dense[which]
 
         first = int(bounds.argmax())
         meet(np.array([first]), np.flatnonzero(blocks == first))
