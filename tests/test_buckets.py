@@ -24,7 +24,7 @@ def counted(spark, rows, side, monkeypatch, lone=1 << 16, chunk=1 << 15):
         return groups(t, by, order, down)
 
     monkeypatch.setattr(recursion, "_groups", seen)
-    got = recursion.recursed(rows, side, ["k"], "i", step, "k string, i bigint, sum double", chunk)
+    got = recursion.recursed(rows, side, ["k"], "i", recursion.one_by_one(step), "k string, i bigint, sum double", chunk)
     return {(r.k, r.i): r["sum"] for r in got.collect()}, calls.value
 
 
@@ -54,3 +54,8 @@ def test_logs_without_a_curve_hold_their_last_value(spark):
     tracks, _ = align.pf_track(log, curve, workflows.tracker_start(log, curve).fillna(1.0), 8, 2)
     assert tracks.where("tvt IS NULL").count() == 0
     assert align.dtw_stochastic(log, curve, 3, 2, 0.3, 1).where("mean_tvt IS NOT NULL").count() == 0
+
+
+def test_keys_of_a_call_are_taken_side_by_side():
+    order, left = recursion.side_by_side([2, 5, 1, 5])
+    assert order.tolist() == [1, 3, 0, 2] and left == [4, 3, 2, 2, 2]
