@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from loomlog.plans.blocks import SEQ, Seq, axis_block, scan
 from loomlog.plans.quantiles import quantiles
-from loomlog.plans.stage import staged
+from loomlog.plans.stage import in_tasks, staged
 
 TILE = 32  # points of a tile
 FAN = 3  # a box holds 2**FAN by 2**FAN boxes of the level below
@@ -98,6 +98,7 @@ def near_pairs(queries: DataFrame, points: DataFrame, k: int, exclude: str | Non
         bound = F.min("_enough").over(mine)
         met = met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") * (1 + 1e-12)))
         front = staged(met.select("q_id", *ex, "q_x", "q_y", "a", "b"))
+    front = in_tasks(front, front.count() * crowd, "a", "b")
     pairs = front.join(pts.withColumnsRenamed({"slab": "a", "tile": "b"}), ["a", "b"]).drop("a", "b")
     for e in ex:
         pairs = pairs.where(F.col(e) != F.col(f"p_{e}"))
@@ -122,9 +123,11 @@ def knn(
     spot = W.partitionBy("_x", "_y", *[f"p_{e}" for e in ex]).orderBy("p_id")
     pts = staged(pts.withColumn("_r", F.row_number().over(spot)).where(F.col("_r") <= k).drop("_r"))
     asked = queries.where(there).select(F.col(qid).alias("q_id"), *ex, (F.col("x") / sx).alias("q_x"), (F.col("y") / sy).alias("q_y"))
-    pairs = near_pairs(asked, pts, k, exclude, crowd)
+    place = [*ex, "q_x", "q_y"]  # queries at one place and of one group have one answer
+    spots = staged(asked.select(*place).distinct().withColumn("q_id", F.monotonically_increasing_id()))
+    pairs = near_pairs(spots, pts, k, exclude, crowd)
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("dist", "p_id"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("q_id").alias(qid), "rank", "dist", "p_id", *[f"p_{e}" for e in ex], *[f"p_{c}" for c in carry], "_x", "_y", "q_x", "q_y")
+    return asked.join(ranked.drop("q_id"), place).select(F.col("q_id").alias(qid), "rank", "dist", "p_id", *[f"p_{e}" for e in ex], *[f"p_{c}" for c in carry], "_x", "_y", "q_x", "q_y")
 
 
 def idw_predict(near: DataFrame, values: list[str], means: DataFrame | None = None, ids: DataFrame | None = None, qid: str = "id", floor: float = 1e-3, spread: bool = False) -> DataFrame:
@@ -155,7 +158,8 @@ def plane_predict(near: DataFrame, values: list[str], qid: str = "id", floor: fl
     for v in values:
         p = F.col(f"p_{v}")
         aggs += [F.sum(w * p).alias(f"_v_{v}"), F.sum(w * dx * p).alias(f"_xv_{v}"), F.sum(w * dy * p).alias(f"_yv_{v}")]
-    g = near.groupBy(qid).agg(*aggs)
+    near = near if hasattr(near, "_stage_path") else staged(near)
+    g = in_tasks(near, near.count(), qid).groupBy(qid).agg(*aggs)
     sw, sx, sy = F.col("_w") + ridge, F.col("_x"), F.col("_y")
     xx, xy, yy = F.col("_xx") + ridge, F.col("_xy"), F.col("_yy") + ridge
     m0, m1, m2 = xx * yy - xy * xy, sx * yy - xy * sy, sx * xy - xx * sy
