@@ -59,3 +59,23 @@ def test_logs_without_a_curve_hold_their_last_value(spark):
 def test_keys_of_a_call_are_taken_side_by_side():
     order, left = recursion.side_by_side([2, 5, 1, 5])
     assert order.tolist() == [1, 3, 0, 2] and left == [4, 3, 2, 2, 2]
+
+
+def test_tiles_of_short_keys_share_a_call(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    groups = recursion._groups
+
+    def seen(t, by, order=None, down=False):
+        calls.add(1)
+        return groups(t, by, order, down)
+
+    monkeypatch.setattr(recursion, "_groups", seen)
+    q = spark.range(300).selectExpr("concat('k', id % 100) AS k", "id div 100 AS i", "double(id) AS v")
+    t = spark.range(200).selectExpr("concat('k', id % 50) AS k", "id div 50 AS j", "double(id) AS w")
+
+    def match(qc, tc, a, b):
+        return {"i": a["i"], "s": a["v"] + b["w"].sum()}
+
+    got = recursion.tiled(q, t, match, "k string, i bigint, s double", key="k", q_pos="i", t_pos="j", q_size=2, t_size=8)
+    assert {(r.k, r.i, r.s) for r in got.collect()} == {(f"k{n}", i, float(i * 100 + n + sum(j * 50 + n for j in range(4)))) for n in range(50) for i in range(3)}
+    assert calls.value == 2
