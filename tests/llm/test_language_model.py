@@ -123,3 +123,31 @@ def test_default_depth_learns_from_five_bytes(spark):
     rows = [(i, "".join(rng.choice(("1wxyzA", "2wxyzB")) for _ in range(300))) for i in range(30)]
     got = [r.bits_per_byte for r in M.score(tables.documents(spark, rows)).collect() if r.held_out]
     assert got and max(got) < 0.25
+
+
+def test_symbols_move_packed(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(400))) for i in range(60)]
+    table = M.blocks(tables.documents(spark, rows), 5, 1 << 20).cache()
+    for kind, most in ((M.GRAM, 4), (M.WORD, 9)):  # bytes of a key and its count; a row of its own takes 24 and more
+        got = M._symbols(table, 5, kind, 3).collect()
+        keys = [M._unpack_keys(bytes(r["keys"])) for r in got]
+        assert len(got) <= 3 * table.count()
+        assert sum(len(r["keys"]) + len(r["n"]) for r in got) < most * sum(map(len, keys))
+        assert all((np.diff(k.view(np.uint64 if kind == M.GRAM else np.int64)) > 0).all() for k in keys)
+
+
+def test_packed_keys_and_numbers_come_back():
+    keys = np.array([-(2**63), -5, -1, 0, 7, 2**63 - 1], np.int64)
+    assert np.array_equal(M._unpack_keys(M._pack_keys(keys)), keys) and not len(M._unpack_keys(M._pack_keys(keys[:0])))
+    values = np.array([-0.1, 1e-300, 3.5])
+    assert np.array_equal(M._unpack(M._pack(values), 3, np.float64), values)
+
+
+def test_a_column_and_an_array_of_grams_have_the_same_parts(spark):
+    keys = [random.Random(5).randrange(1 << 56) for _ in range(500)] + [0, 255, (1 << 56) - 1]
+    for depth in (1, 2, 5, 6):
+        own = np.array([k & ((1 << (8 * depth + 8)) - 1) for k in keys])
+        df = spark.createDataFrame([(int(k),) for k in own], "key long")
+        assert [r.p for r in df.select(M._gram_part(df["key"], depth, 13).alias("p")).collect()] == M._gram_part(own, depth, 13).tolist()
