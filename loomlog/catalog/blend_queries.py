@@ -121,23 +121,34 @@ query("blend_residual_rows", _by_rows("ridge_residual", GATES),
 query("blend_residual_trees", _by_rows("trees_residual", ["a", "b", "c", "half", "least", *GATES], trees=10, depth=3))
 
 
-def _search_sql(feature, bins, least, by_key):
-    """Error of the weights by quantile bin of a feature, or of its median over a key."""
-    x = f"k_{feature}" if by_key else feature
-    qs = ", ".join(f"quantile_cont({x}, {i / bins!r})" for i in range(1, bins))
-    train = f"SELECT DISTINCT h, f, grp, {x} FROM wide" if by_key else "wide"
-    rows = f"(SELECT wide.*, len(list_filter(cuts, lambda q: q <= {x})) AS bin FROM wide JOIN (SELECT h, list_distinct([{qs}]) AS cuts FROM ({train}) WHERE f <> h GROUP BY 1) USING (h))"
-    return f"""SELECT '{'key' if by_key else 'row'}_bins_{feature}_q{bins}' AS formula, {sse('w')} AS rmse FROM (
-      SELECT t.*, CASE WHEN pb.k >= {least} THEN pb.w ELSE g.w END AS w FROM {rows} t LEFT JOIN (SELECT h, bin, count(*) AS k, {LSW} AS w FROM {rows} WHERE f <> h GROUP BY 1, 2) pb USING (h, bin)
-      JOIN (SELECT h, {LSW} AS w FROM wide WHERE f <> h GROUP BY 1) g USING (h) WHERE f = h)"""
+def _grid_sql(feature, counts, least, by_key):
+    """CTEs and SELECT of the errors of weights by quantile bin of a feature, or of its median over a key, for every number of bins."""
+    kind, x = ("key", f"k_{feature}") if by_key else ("row", feature)
+    t = f"{kind}_{feature}"
+    probs = sorted({i / n for n in counts for i in range(1, n)})
+    picks = ", ".join(f"({n}, [{', '.join(str(probs.index(i / n) + 1) for i in range(1, n))}])" for n in counts)
+    train = f"SELECT DISTINCT f, grp, {x} AS x FROM feats" if by_key else f"SELECT f, {x} AS x FROM feats"
+    weight = "CASE WHEN sum(den) <= 1e-12 THEN 0.5 ELSE greatest(0, least(1, sum(num) / sum(den))) END"
+    return f""",
+{t}_q AS MATERIALIZED (SELECT h, quantile_cont(x, {probs}) AS qs FROM ({train}), (SELECT unnest(range(0, 5)) AS h) WHERE f <> h GROUP BY 1),
+{t}_cuts AS MATERIALIZED (SELECT h, bins, list_distinct(list_select(qs, idx)) AS cuts FROM {t}_q, (VALUES {picks}) AS p(bins, idx)),
+{t}_pieces AS MATERIALIZED (SELECT f, lim, sum(e * e) AS s11, sum(e * g) AS s12, sum(g * g) AS s22, sum(g * (g - e)) AS num, sum(pow(g - e, 2)) AS den, count(*) AS k
+  FROM (SELECT f, truth - a AS e, truth - b AS g, {x} AS x FROM feats) ASOF LEFT JOIN (SELECT DISTINCT unnest(qs) AS lim FROM {t}_q) ON x >= lim GROUP BY 1, 2),
+{t}_cells AS MATERIALIZED (SELECT p.*, h, bins, len(list_filter(cuts, lambda q: q <= lim)) AS bin FROM {t}_pieces p, {t}_cuts)""", f"""SELECT concat('{kind}_bins_{feature}_q', bins) AS formula,
+      sqrt(sum(w * w * s11 + 2 * w * (1 - w) * s12 + (1 - w) * (1 - w) * s22) / sum(k)) AS rmse FROM (SELECT t.*, CASE WHEN pb.k >= {least} THEN pb.w ELSE g.w END AS w FROM {t}_cells t
+      LEFT JOIN (SELECT h, bins, bin, sum(k) AS k, {weight} AS w FROM {t}_cells WHERE f <> h GROUP BY 1, 2, 3) pb USING (h, bins, bin)
+      JOIN (SELECT h, bins, {weight} AS w FROM {t}_cells WHERE f <> h GROUP BY 1, 2) g USING (h, bins) WHERE f = h) GROUP BY bins"""
 
 
 _SEARCH = PRED_CTE + f""",
 base AS (SELECT avg(w) AS bw FROM (SELECT h, {LSW} AS w FROM pred_vectors, (SELECT unnest(range(0, 5)) AS h) WHERE grp % 5 <> h GROUP BY 1)),
-gaps AS (SELECT *, grp % 5 AS f, truth - bw * a - (1 - bw) * b AS miss, a - b AS signed_gap, abs(a - b) AS abs_gap, z AS zf FROM pred_vectors, base),
+gaps AS MATERIALIZED (SELECT *, grp % 5 AS f, truth - bw * a - (1 - bw) * b AS miss, a - b AS signed_gap, abs(a - b) AS abs_gap, z AS zf FROM pred_vectors, base),
 medians AS (SELECT grp, quantile_cont(signed_gap, 0.5) AS k_signed_gap, quantile_cont(abs_gap, 0.5) AS k_abs_gap, quantile_cont(z, 0.5) AS k_z FROM gaps GROUP BY 1),
-wide AS MATERIALIZED (SELECT gaps.*, k_signed_gap, k_abs_gap, k_z, h FROM gaps JOIN medians USING (grp), (SELECT unnest(range(0, 5)) AS h))"""
-_found = [_search_sql(f, n, least, by_key) for f in GATES for n, least, by_key in ((3, 100, True), (6, 500, False))]
+feats AS MATERIALIZED (SELECT gaps.*, k_signed_gap, k_abs_gap, k_z FROM gaps JOIN medians USING (grp)),
+wide AS (SELECT gaps.*, h FROM gaps, (SELECT unnest(range(0, 5)) AS h))"""
+_grids = [_grid_sql(f, n, least, by_key) for f in GATES for n, least, by_key in ((op.KEY_BINS, 100, True), (op.ROW_BINS, 500, False))]
+_SEARCH += "".join(c for c, _ in _grids)
+_found = [q for _, q in _grids]
 _found += [f"SELECT model AS formula, sqrt(avg(e)) AS rmse FROM ({_ridge3_sql(m, t, al)}) WHERE fold = -1 GROUP BY 1" for m, t, al in (("ridge_residual", "miss", 80.0), ("ridge_direct", "truth", 40.0))]
 _found.append(f"SELECT 'global_cv' AS formula, {sse('w')} AS rmse FROM wide JOIN (SELECT h, {LSW} AS w FROM wide WHERE f <> h GROUP BY 1) USING (h) WHERE f = h")
 _found.append(f"SELECT printf('fixed_%.2f', w::DOUBLE) AS formula, {sse('w')} AS rmse FROM pred_vectors, (SELECT unnest(range(2, 9)) / 10 AS w) GROUP BY w")
